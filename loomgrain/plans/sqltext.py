@@ -15,8 +15,8 @@ def normalize(x: str) -> str:
 
 def bm25_tokens(x: str) -> str:
     return (
-        f"list_filter(list_transform(regexp_extract_all(coalesce({x}, ''), '{LATIN}|[{CJK}]'), w -> lower(w)),"
-        f" w -> w NOT IN ({STOP}))"
+        f"list_filter(list_transform(regexp_extract_all(coalesce({x}, ''), '{LATIN}|[{CJK}]'), lambda w: lower(w)),"
+        f" lambda w: w NOT IN ({STOP}))"
     )
 
 
