@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm import linededup, sharding
+from loomgrain.llm import bpe, linededup, sharding
 from loomgrain.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,15 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's ids and round trip under the public 50k byte-level vocabulary."""
+    import public_tokenizers
+
+    known = bpe.load(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.encode(rows, known, ids=False).drop("text")
+
+
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents into 16 shards of nearly equal bytes."""
     found = sharding.shard(table(spark, sf, "documents").select("doc_id", "text"))
@@ -42,7 +51,11 @@ SELECT d.doc_id, d.source, coalesce(x.n_lines, 0) AS n_lines,
 FROM documents d LEFT JOIN docs x ON x.doc_id = d.doc_id
 """
 
-_QUERIES: dict[str, Query] = {"op6_line_dedup": op6_line_dedup, "op9_sharding": op9_sharding}
+_QUERIES: dict[str, Query] = {
+    "op6_line_dedup": op6_line_dedup,
+    "op8_bpe": op8_bpe,
+    "op9_sharding": op9_sharding,
+}
 _SQL: dict[str, str] = {"op6_line_dedup": LINE_SQL}
 
 
