@@ -7,12 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm import bpe, linededup, sharding
+from loomgrain.llm import bpe, licenses, linededup, sharding
 from loomgrain.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    found = licenses.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.drop("text", "places")
+
+
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with their source as the host."""
     found = linededup.dedup_lines(table(spark, sf, "documents"))
@@ -52,6 +58,7 @@ FROM documents d LEFT JOIN docs x ON x.doc_id = d.doc_id
 """
 
 _QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op6_line_dedup": op6_line_dedup,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
