@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm import bpe, licenses, linededup, sharding
+from loomgrain.llm import bpe, langid, licenses, linededup, sharding
 from loomgrain.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,14 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("text", "places")
 
 
+def op5_langid(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's language, learned outside the held-out fifth."""
+    docs = table(spark, sf, "documents")
+    models = langid.train(docs.filter(langid.fold("doc_id", 5) != 0))
+    rows = docs.select("doc_id", (langid.fold("doc_id", 5) == 0).alias("held_out"), "text")
+    return langid.identify(rows, models).drop("text")
+
+
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with their source as the host."""
     found = linededup.dedup_lines(table(spark, sf, "documents"))
@@ -59,6 +67,7 @@ FROM documents d LEFT JOIN docs x ON x.doc_id = d.doc_id
 
 _QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
+    "op5_langid": op5_langid,
     "op6_line_dedup": op6_line_dedup,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
