@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm import bpe, langid, licenses, linededup, sharding
-from loomgrain.session import table
+from loomgrain.llm import bpe, langid, licenses, linededup, quality, sharding
+from loomgrain.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,15 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("text", "places")
 
 
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's quality, learned outside the held-out quarter."""
+    docs = table(spark, sf, "documents")
+    rows = docs.select("doc_id", (langid.fold("doc_id", 4) == 2).alias("held_out"), "text")
+    featured = written(quality.features(rows), "quality-features")
+    model = quality.train(featured.filter("NOT held_out"), table(spark, sf, "labels"))
+    return quality.score(featured, model)
+
+
 def op5_langid(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's language, learned outside the held-out fifth."""
     docs = table(spark, sf, "documents")
@@ -67,6 +76,7 @@ FROM documents d LEFT JOIN docs x ON x.doc_id = d.doc_id
 
 _QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
+    "op3_quality": op3_quality,
     "op5_langid": op5_langid,
     "op6_line_dedup": op6_line_dedup,
     "op8_bpe": op8_bpe,
