@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm import bpe, langid, licenses, linededup, quality, sharding
+from loomgrain.llm import bpe, html, langid, licenses, linededup, quality, sharding
 from loomgrain.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.drop("text", "places")
 
 
+def op2_html(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf, "pages").select("page_id", "url", "html")).drop("html")
+
+
 def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's quality, learned outside the held-out quarter."""
     docs = table(spark, sf, "documents")
@@ -76,6 +81,7 @@ FROM documents d LEFT JOIN docs x ON x.doc_id = d.doc_id
 
 _QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
+    "op2_html": op2_html,
     "op3_quality": op3_quality,
     "op5_langid": op5_langid,
     "op6_line_dedup": op6_line_dedup,
