@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm import ann, bpe, html, langid, licenses, linededup, quality, sharding
+from loomgrain.llm import ann, bpe, html, jaccard, langid, licenses, linededup, quality, sharding
 from loomgrain.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
+def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's class under links of similarity 0.75 or more over 5-word shingles."""
+    return jaccard.similar_classes(table(spark, sf, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's ids and round trip under the public 50k byte-level vocabulary."""
     import public_tokenizers
@@ -92,6 +97,7 @@ _QUERIES: dict[str, Query] = {
     "op4_ann": op4_ann,
     "op5_langid": op5_langid,
     "op6_line_dedup": op6_line_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
 }
