@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm import ann, bpe, html, jaccard, langid, licenses, linededup, quality, sharding
+from loomgrain.llm import ann, bpe, decontaminate, html, jaccard, langid, licenses, linededup, quality, sharding
 from loomgrain.session import table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,13 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op10_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    """One row for each contaminated document and the item it holds."""
+    rows = table(spark, sf, "documents").select("doc_id", "text")
+    found = decontaminate.flag(rows, table(spark, sf, "benchmark")).drop("text")
+    return found.select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*")
+
+
 LINE_SQL = f"""
 WITH host AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 cells AS (SELECT d.doc_id, d.source, unnest(string_split(d.text, chr(10))) AS line,
@@ -100,6 +107,7 @@ _QUERIES: dict[str, Query] = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
+    "op10_decontaminate": op10_decontaminate,
 }
 _SQL: dict[str, str] = {"op6_line_dedup": LINE_SQL}  # of the others, no exact form in SQL: tests hold them to brute force
 
