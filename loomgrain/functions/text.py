@@ -109,3 +109,147 @@ def tokens(text: Column | str, profile: str = "mixed") -> Column:
     if profile not in makers:
         raise ValueError(f"unknown tokenizer profile {profile!r}; known: {', '.join(sorted(makers))}")
     return makers[profile](text)
+
+
+def join_pieces(pieces: Column) -> Column:
+    """With spaces, or without any where a piece holds a CJK character."""
+    cjk = F.exists(pieces, lambda p: p.rlike(f"[{CJK}]"))
+    return F.when(cjk, F.array_join(pieces, "")).otherwise(F.array_join(pieces, " "))
+
+
+def word_windows(text: Column | str, most: int, overlap: int = 0) -> Column:
+    """Windows of most words that step by most - overlap and stop with the one that reaches the end.
+
+    White-space words; of text that is over-long in tokens and holds CJK, single tokens.
+    """
+    t = normalize(text)
+    mixed = _all(t, f"{LATIN_TOKEN}|[{CJK}]|[^\\s]")
+    over = estimate_tokens(t) > most
+    words = F.when(over & t.rlike(f"[{CJK}]"), mixed).otherwise(F.split(t, " "))
+    step = max(1, most - max(0, overlap))
+    count = F.size(words)
+    last = F.greatest(F.lit(0), F.ceil((count - most) / step)).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
+    windows = F.transform(starts, lambda s: join_pieces(F.slice(words, s + 1, most)))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(windows)
+
+
+def block_text(text: Column, title_path: Column, titled: bool) -> Column:
+    """Normalised text, led by [A > B] unless that title is in its first 120 characters already."""
+    t = normalize(text)
+    if not titled:
+        return t
+    title = F.array_join(title_path, " > ")
+    known = F.instr(F.lower(F.substring(t, 1, 120)), F.lower(title)) > 0
+    return F.when((F.coalesce(F.size(title_path), F.lit(0)) > 0) & (title != "") & ~known, F.concat(F.lit("["), title, F.lit("] "), t)).otherwise(t)
+
+
+def summary(text: Column | str, most: int = 48) -> Column:
+    """First sentence, cut to most words with an ellipsis."""
+    first = F.coalesce(F.get(sentences(text), F.lit(0)), F.lit(""))
+    words = F.split(first, " ")
+    return F.when(F.size(words) <= most, first).otherwise(F.concat(F.array_join(F.slice(words, 1, most), " "), F.lit(" ...")))
+
+
+def preview(text: Column | str, size: int = 240) -> Column:
+    return F.substring(normalize(text), 1, size)
+
+
+def ellipsis_preview(text: Column | str, size: int = 900) -> Column:
+    t = normalize(text)
+    return F.when(F.length(t) > size, F.concat(F.rtrim(F.substring(t, 1, size)), F.lit("..."))).otherwise(t)
+
+
+def cut_at_word(text: Column | str, size: int) -> Column:
+    t = normalize(text)
+    return F.when(F.length(t) > size, F.concat(F.regexp_replace(F.substring(t, 1, size), " [^ ]*$", ""), F.lit(" ..."))).otherwise(t)
+
+
+def safe_id(text: Column | str) -> Column:
+    """Runs of characters outside 0-9 A-Z a-z _ . - become one underscore; outer underscores go."""
+    return F.regexp_replace(F.regexp_replace(_col(text), "[^0-9A-Za-z_.-]+", "_"), "^_+|_+$", "")
+
+
+def stable_hash(text: Column | str) -> Column:
+    return F.substring(F.sha1(_col(text).cast("binary")), 1, 12)
+
+
+def token_f1(left: Column, right: Column) -> Column:
+    """F1 of the sets of white-space words of two texts, case-insensitive."""
+    a = F.array_distinct(F.split(normalize_for_match(left), " "))
+    b = F.array_distinct(F.split(normalize_for_match(right), " "))
+    shared = F.size(F.array_intersect(a, b))
+    blank = (normalize(left) == "") | (normalize(right) == "")
+    return F.when(blank | (shared == 0), F.lit(0.0)).otherwise(2.0 * shared / (F.size(a) + F.size(b)))
+
+
+def section_path(name: Column | str) -> Column:
+    """Parts between ::: normalised, empties dropped; the whole name if nothing is left."""
+    parts = F.filter(F.transform(F.split(_col(name), ":::"), normalize), lambda x: x != "")
+    return F.when(F.size(parts) > 0, parts).otherwise(F.array(normalize(name)))
+
+
+def caption_type(caption: Column | str) -> Column:
+    c = F.lower(normalize(caption))
+    return F.when(c.startswith("table"), "table").when(c.startswith("figure"), "figure").otherwise("caption")
+
+
+def compact_answer(answers: Column | str) -> Column:
+    """The first three non-empty answers, joined by a full-width semicolon."""
+    kept = F.filter(F.transform(_col(answers), normalize), lambda x: x != "")
+    return F.array_join(F.slice(kept, 1, 3), "；")
+
+
+# Characters stripped from tags, the entity pattern, and headings that are no entities.
+TAG_STRIP = " \\t\\r\\n,，.;；:：!?！？()\\[\\]{}<>《》【】\"'“”‘’"
+ENTITY = r"\b(?:[A-Z]{2,}[A-Za-z0-9+\-]*|[A-Z][A-Za-z0-9+\-]{2,}(?:\s+[A-Z][A-Za-z0-9+\-]{2,}){0,3})\b"
+NO_ENTITIES = (
+    "Abstract|Introduction|Related Work|Proposed Method|Experiments|Conclusion|Appendices|Acknowledgments"
+    "|BIBREF|FIGREF|TABREF|SECREF|FLOAT|SELECTED"
+).split("|")
+
+
+def normalize_tag(tag: Column | str) -> Column:
+    """Outer punctuation stripped, lower-cased unless CJK; empty for stop words, bare punctuation and single CJK characters."""
+    t = F.regexp_replace(F.regexp_replace(normalize(tag), f"^[{TAG_STRIP}]+", ""), f"[{TAG_STRIP}]+$", "")
+    drop = (
+        F.lower(t).isin(TAG_STOPWORDS) | t.isin(TAG_STOPWORDS_ZH) | t.rlike(f"^[{CJK}]$") | t.rlike(r"(?U)^[\W_]*$")
+    )
+    return F.when(drop, F.lit("")).when(t.rlike(f"[{CJK}]"), t).otherwise(F.lower(t))
+
+
+def entities(text: Column | str) -> Column:
+    """Capitalised phrases and acronyms in order, less headings and reference marks."""
+    found = F.transform(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(f"(?U)({ENTITY})"), F.lit(1)), normalize)
+    return F.filter(found, lambda e: (e != "") & ~e.isin(NO_ENTITIES) & ~e.rlike("^(BIBREF|FIGREF|TABREF|SECREF)"))
+
+
+def common_path(paths: Column) -> Column:
+    """Longest common prefix of the non-empty paths, else the first four distinct first elements."""
+    held = F.filter(paths, lambda p: F.size(p) > 0)
+
+    def shared(a: Column, b: Column) -> Column:
+        n = F.least(F.size(a), F.size(b))
+        differ = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: ~F.get(a, i - 1).eqNullSafe(F.get(b, i - 1)))
+        return F.slice(a, 1, F.when(n <= 0, 0).when(F.size(differ) > 0, differ[0] - 1).otherwise(n))
+
+    prefix = F.aggregate(held, F.get(held, F.lit(0)), shared)
+    tops = F.slice(F.array_distinct(F.transform(held, lambda p: p[0])), 1, 4)
+    empty = F.array().cast("array<string>")
+    return F.when(F.size(held) == 0, empty).when(F.size(prefix) > 0, prefix).otherwise(tops)
+
+
+def frequent(words: Column, most: int) -> Column:
+    """The most frequent words; ties go to the one met first."""
+    size = F.size(words)
+    ranked = F.transform(
+        F.array_distinct(words),
+        lambda w: F.struct((F.size(F.array_remove(words, w)) - size).alias("k"), F.array_position(words, w).alias("p"), w.alias("w")),
+    )
+    return F.slice(F.transform(F.array_sort(ranked), lambda s: s["w"]), 1, most)
+
+
+def nearest_rank(values: Column, q: float) -> Column:
+    """The value at index round-half-even((n - 1) q) of the sorted values; 0 for none."""
+    at = F.bround((F.size(values) - 1) * F.lit(q), 0).cast("int")
+    return F.when(F.size(values) == 0, F.lit(0.0)).otherwise(F.get(F.sort_array(values), at).cast("double"))
