@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The token shape, and function words that say nothing about a sentence's subject.
-TOKEN = r"\b([A-Za-z][A-Za-z0-9_\-']+)\b"
+RUN = r"([\p{L}\p{N}_][\p{L}\p{N}_\-']*)"
+TOKEN = r"^[a-z][a-z0-9_\-']+$"
 STOP = (
     "a about above after again all also am an and any are as at be because been before being below between both but by can could did do"
     " does doing down during each few for from further had has have having he her here hers him his how i if in into is it its just me"
@@ -18,8 +19,9 @@ STOP = (
 
 def terms(units: DataFrame, keys: list[str]) -> DataFrame:
     """keys, unit, term, tf."""
-    found = F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(1))
-    each = units.select(*keys, "unit", F.explode(F.filter(found, lambda t: ~t.isin(STOP))).alias("term"))
+    runs = F.regexp_extract_all(F.lower("text"), F.lit(RUN), F.lit(1))
+    found = F.transform(runs, lambda t: F.regexp_replace(t, "[-']+$", ""))
+    each = units.select(*keys, "unit", F.explode(F.filter(found, lambda t: t.rlike(TOKEN) & ~t.isin(STOP))).alias("term"))
     return each.groupBy(*keys, "unit", "term").agg(F.count("*").alias("tf"))
 
 

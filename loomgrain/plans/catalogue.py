@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrain.plans import retrieval
+from loomgrain.plans import chunking, retrieval, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (retrieval,)
+_MODULES = (texts, chunking, retrieval)
 
 
 def queries() -> dict[str, Query]:

@@ -20,6 +20,24 @@ def bm25_tokens(x: str) -> str:
     )
 
 
+def tokens(x: str) -> str:
+    latin = f"len(regexp_extract_all(regexp_replace({x}, '[{CJK}]', ' ', 'g'), '{LATIN}'))"
+    more = f"len(regexp_extract_all({x}, '[{CJK}]')) + len(regexp_extract_all({x}, '[$€£¥]|[=<>≤≥±×÷]'))"
+    return f"(CASE WHEN {normalize(x)} = '' THEN 0 ELSE greatest(1, {latin} + {more}) END)"
+
+
+def bag(x: str) -> str:
+    return (
+        f"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '{LATIN}|[{CJK}]'),"
+        " lambda w: NOT (len(w) = 1 AND regexp_matches(w, '^[ -~]$')))"
+    )
+
+
+def sentences(x: str) -> str:
+    marked = rf"regexp_replace(regexp_replace({normalize(x)}, '([.!?])\s+', '\1' || chr(1), 'g'), '([。！？])\s*', '\1' || chr(1), 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+
+
 BM25_SCORES = f"""
     WITH toks AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN ['__empty__'] ELSE t END AS t
                   FROM (SELECT doc_id, {bm25_tokens('text')} AS t FROM documents)),
