@@ -160,9 +160,9 @@ _STATS = f"""
         coalesce(ds[1 + CAST(round_even((len(ds) - 1) * 0.75, 0) AS BIGINT)], 0.0) AS p75_adjacent_distance
       FROM per p JOIN moves m USING (doc_id) LEFT JOIN dist d USING (doc_id)),
     full_stats AS (SELECT *, round(greatest(0.0, 1.0 - avg_adjacent_distance), 4) AS continuity,
-        round(least(1.0, 0.30 * short_block_rate + 0.22 * under_half_target_rate + 0.20 * least(1.0, block_count / 80)
-              + 0.18 * round(greatest(0.0, 1.0 - avg_adjacent_distance), 4)), 4) AS context_need,
-        round(least(1.0, 0.60 * title_transition_rate + 0.24 * avg_adjacent_distance + 0.10 * p75_adjacent_distance), 4) AS structure_need FROM stats)"""
+        round(round(least(1.0, 0.30 * short_block_rate + 0.22 * under_half_target_rate + 0.20 * least(1.0, block_count / 80)
+              + 0.18 * round(greatest(0.0, 1.0 - avg_adjacent_distance), 4)), 9), 4) AS context_need,
+        round(round(least(1.0, 0.60 * title_transition_rate + 0.24 * avg_adjacent_distance + 0.10 * p75_adjacent_distance), 9), 4) AS structure_need FROM stats)"""
 _UNITS = rf"""
     turns AS (SELECT 'c' || conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS block, {S.normalize('text')} AS norm
               FROM conversations WHERE {S.normalize('text')} <> ''),

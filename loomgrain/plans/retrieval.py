@@ -1,27 +1,250 @@
-"""Retrieval queries over the driver's tables."""
+"""Retrieval and evaluation queries: benchmark passages against documents, their lines and their fixed chunks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgrain.functions import text as T
-from loomgrain.operators import bm25
+from loomgrain.operators import bm25, evaluation, evidence, fixed, fusion, lexical
 from loomgrain.plans import sqltext as S
+from loomgrain.plans import views
 from loomgrain.session import table
 
+TOP = 10
 
-def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", T.bm25_tokens("text").alias("tokens"))
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return bm25.tokenised(table(spark, sf, "documents"), "doc_id")
+
+
+def bm25_stats(spark, sf):
+    docs = _docs(spark, sf)
+    found = bm25.corpus_stats(docs).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    terms = bm25.postings(docs, "doc_id").agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms"))
+    return found.join(F.broadcast(terms))
+
+
+def bm25_postings(spark, sf):
+    return bm25.postings(_docs(spark, sf), "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def bm25_topk(spark, sf):
     """Five best documents for each benchmark passage."""
-    docs = bm25.tokenised(table(spark, sf, "documents"), "doc_id")
-    asked = table(spark, sf, "benchmark").select("item_id", T.bm25_tokens("text").alias("tokens"))
-    return bm25.top_k(bm25.scores(asked, docs, "item_id", "doc_id"), "item_id", "doc_id", 5)
+    return bm25.top_k(bm25.scores(_asked(spark, sf), _docs(spark, sf), "item_id", "doc_id"), "item_id", "doc_id", 5)
+
+
+def bm25_okapi_topk(spark, sf):
+    return bm25.top_k(bm25.scores(_asked(spark, sf), _docs(spark, sf), "item_id", "doc_id", "okapi"), "item_id", "doc_id", 5)
+
+
+def dense_topk(spark, sf):
+    """Five nearest vectors of each label's mean vector."""
+    rows = table(spark, sf, "embeddings").withColumn("u", fusion.unit(F.col("embedding")))
+    spread = rows.select("label", F.posexplode("u").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
+    means = spread.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
+    scored = fusion.dense_scores(means.withColumnRenamed("v", "u"), rows, "label", "vec_id", "u")
+    return bm25.top_k(scored, "label", "vec_id", 5, places=5)
+
+
+def cosine_topk(spark, sf):
+    return bm25.top_k(lexical.cosine(_asked(spark, sf), _docs(spark, sf), "item_id", "doc_id"), "item_id", "doc_id", 5)
+
+
+def hybrid_topk(spark, sf):
+    asked, docs = _asked(spark, sf), _docs(spark, sf)
+    both = fusion.fuse(bm25.scores(asked, docs, "item_id", "doc_id"), lexical.cosine(asked, docs, "item_id", "doc_id"), "item_id", "doc_id")
+    return bm25.top_k(both, "item_id", "doc_id", 5).select("item_id", "doc_id", "score", "rank")
+
+
+def index_text(spark, sf):
+    """Index text with title path, tags and summary, for the fixed chunks."""
+    chunks = fixed.chunks(views.line_blocks(spark, sf))
+    whole = F.concat_ws(" ", "text", F.concat_ws(" ", "title_path"), F.concat_ws(" ", "tags"), "summary")
+    return chunks.select("chunk_id", F.size(T.bm25_tokens(whole)).cast("long").alias("n_tokens"))
+
+
+def gold_containment(spark, sf):
+    return evidence.containment(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
+
+
+def _evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Each line of a benchmark passage, once for each document that holds the passage."""
+    lines = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("place", "text"))
+    held = gold_containment(spark, sf).select("item_id", F.col("doc_id").cast("string").alias("doc_id"))
+    return lines.join(held, "item_id").withColumnRenamed("item_id", "query_id")
+
+
+def evidence_match(spark, sf):
+    found = evidence.match(_evidence(spark, sf), views.line_blocks(spark, sf))
+    return found.select("query_id", "doc_id", F.col("place").cast("long").alias("place"), "block_id", "score", "method")
+
+
+def _gold(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.match(_evidence(spark, sf), views.line_blocks(spark, sf)).select("query_id", "block_id").distinct()
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten best of lines and of fixed chunks under BM25 and cosine."""
+    blocks = views.line_blocks(spark, sf)
+    units = {
+        "line": blocks.select(F.col("block_id").alias("unit"), "text", F.array("block_id").alias("blocks")),
+        "fixed": fixed.chunks(blocks).select(F.col("chunk_id").alias("unit"), "text", F.col("source_blocks").alias("blocks")),
+    }
+    asked, out = _asked(spark, sf), None
+    for strategy, rows in units.items():
+        docs = bm25.tokenised(rows, "unit")
+        for retriever, score in (("bm25", bm25.scores), ("cosine", lexical.cosine)):
+            top = bm25.top_k(score(asked, docs, "item_id", "unit"), "item_id", "unit", TOP)
+            hits = top.join(rows.select("unit", "blocks"), "unit").select(
+                F.lit(strategy).alias("strategy"), F.lit(retriever).alias("retriever"), F.col("item_id").alias("query_id"), "rank", "unit", "score", "blocks"
+            )
+            out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def query_hits(spark, sf):
+    """Five best hits of each strategy and retriever, side by side."""
+    return _hits(spark, sf).filter("rank <= 5").select("strategy", "retriever", "query_id", "rank", "unit", "score")
+
+
+def _per_query(spark, sf):
+    return evaluation.per_query(_hits(spark, sf).drop("unit", "score"), _gold(spark, sf))
+
+
+def eval_per_query(spark, sf):
+    rows = _per_query(spark, sf)
+    return rows.select("strategy", "retriever", "query_id", "first_relevant_rank", *(F.round(c, 6).alias(c) for c in ("reciprocal_rank", "ndcg", "recall_1", "recall_3", "recall_5")), "hit_5", "full_5")
+
+
+def eval_metrics(spark, sf):
+    return evaluation.summary(_per_query(spark, sf))
+
+
+def baseline_delta(spark, sf):
+    return evaluation.baseline_delta(evaluation.summary(_per_query(spark, sf)))
+
+
+def best_by_metric(spark, sf):
+    return evaluation.best_by_metric(evaluation.summary(_per_query(spark, sf)))
+
+
+def case_type(spark, sf):
+    return evaluation.case_types(_per_query(spark, sf), "line", "fixed")
+
+
+def bad_cases(spark, sf):
+    return evaluation.bad_cases(evaluation.case_types(_per_query(spark, sf), "line", "fixed"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        bm25_stats, bm25_postings, bm25_topk, bm25_okapi_topk, dense_topk, cosine_topk, hybrid_topk, index_text, gold_containment, evidence_match,
+        query_hits, eval_per_query, eval_metrics, baseline_delta, best_by_metric, case_type, bad_cases,
+    )
+}
+
+
+def _corpus(name: str, key: str, source: str) -> str:
+    """CTEs <name>_toks, _post, _df, _n for the units (key, text) of source, and _bm25, _cos: item_id, unit, score."""
+    t = S.bm25_tokens("text")
+    return f"""
+    {name}_toks AS MATERIALIZED (SELECT unit, CASE WHEN len(t) = 0 THEN ['__empty__'] ELSE t END AS t FROM (SELECT {key} AS unit, {t} AS t FROM {source})),
+    {name}_n AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {name}_toks),
+    {name}_post AS MATERIALIZED (SELECT unit, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT unit, len(t) AS dl, unnest(t) AS term FROM {name}_toks) GROUP BY unit, term),
+    {name}_df AS MATERIALIZED (SELECT term, count(*) AS df FROM {name}_post GROUP BY term),
+    {name}_bm25 AS (SELECT item_id, unit, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+        FROM q JOIN {name}_df USING (term) JOIN {name}_post USING (term), {name}_n GROUP BY item_id, unit),
+    {name}_w AS (SELECT unit, term, w / sqrt(sum(w * w) OVER (PARTITION BY unit)) AS w FROM
+        (SELECT unit, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM {name}_post JOIN {name}_df USING (term), {name}_n)),
+    {name}_q AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM
+        (SELECT item_id, term, qtf * (ln((1 + n) / (1 + df)) + 1) AS w FROM q JOIN {name}_df USING (term), {name}_n)),
+    {name}_cos AS (SELECT item_id, unit, sum(a.w * b.w) AS score FROM {name}_q a JOIN {name}_w b USING (term) GROUP BY item_id, unit)"""
+
+
+def _top(source: str, k: int, places: int = 6) -> str:
+    return f"""(SELECT item_id, unit, score, rank FROM (SELECT item_id, unit, round(score, {places}) AS score,
+        row_number() OVER (PARTITION BY item_id ORDER BY round(score, {places}) DESC, unit) AS rank FROM {source}) WHERE rank <= {k})"""
 
 
-QUERIES = {"bm25_topk": bm25_topk}
+_Q = f"q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({S.bm25_tokens('text')}) AS term FROM benchmark) GROUP BY item_id, term)"
+_DOCS = f"{_Q}, {_corpus('d', 'doc_id', 'documents')}"
+_LOWER = lambda x: f"lower({S.normalize(x)})"
+_HELD = f"""held AS MATERIALIZED (SELECT item_id, doc_id FROM (SELECT item_id, {_LOWER('text')} AS needle FROM benchmark) i
+    JOIN (SELECT doc_id, {_LOWER('text')} AS hay FROM documents) d ON contains(hay, needle))"""
+_MATCH = f"""{_HELD},
+    ev AS (SELECT item_id AS query_id, doc_id, place, {_LOWER('line')} AS e FROM
+        (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM benchmark) JOIN held USING (item_id)),
+    paired AS (SELECT query_id, ev.doc_id, place, ord, e, lower(norm) AS b FROM ev JOIN lines USING (doc_id) WHERE e <> ''),
+    split AS (SELECT *, list_distinct(string_split(e, ' ')) AS ea, list_distinct(string_split(b, ' ')) AS ba FROM paired),
+    rated AS (SELECT *, CASE WHEN contains(b, e) THEN least(1.0, 0.85 + len(e) / len(b)) WHEN contains(e, b) THEN least(0.95, 0.75 + len(b) / len(e))
+        ELSE 2.0 * len(list_intersect(ea, ba)) / (len(ea) + len(ba)) END AS score,
+        CASE WHEN contains(b, e) THEN 'block_contains' WHEN contains(e, b) THEN 'block_within' ELSE 'word_overlap' END AS method FROM split),
+    matched AS MATERIALIZED (SELECT query_id, doc_id, place, format('{{}}_b{{:05d}}', doc_id, ord) AS block_id, round(score, 6)::DOUBLE AS score, method FROM
+        (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, place ORDER BY score DESC, ord) AS r FROM rated) WHERE r = 1 AND score >= 0.18)"""
+_UNITS = f"""WITH RECURSIVE {views.FIXED_SQL}, {_MATCH}, {_Q},
+    gold AS (SELECT DISTINCT query_id, block_id FROM matched),
+    line_units AS (SELECT format('{{}}_b{{:05d}}', doc_id, ord) AS unit, text, [format('{{}}_b{{:05d}}', doc_id, ord)] AS blocks FROM lines),
+    fixed_units AS (SELECT format('{{}}_fixed_chunk_{{:05d}}', doc_id, idx) AS unit, text, list_transform(ords, lambda o: format('{{}}_b{{:05d}}', doc_id, o)) AS blocks FROM chunks),
+    {_corpus('l', 'unit', 'line_units')}, {_corpus('f', 'unit', 'fixed_units')},
+    hits AS MATERIALIZED (
+      SELECT 'line' AS strategy, 'bm25' AS retriever, t.*, blocks FROM {_top('l_bm25', TOP)} t JOIN line_units USING (unit) UNION ALL
+      SELECT 'line', 'cosine', t.*, blocks FROM {_top('l_cos', TOP)} t JOIN line_units USING (unit) UNION ALL
+      SELECT 'fixed', 'bm25', t.*, blocks FROM {_top('f_bm25', TOP)} t JOIN fixed_units USING (unit) UNION ALL
+      SELECT 'fixed', 'cosine', t.*, blocks FROM {_top('f_cos', TOP)} t JOIN fixed_units USING (unit))"""
+_PER = f"""{_UNITS},
+    golds AS (SELECT query_id, list(block_id) AS g FROM gold GROUP BY query_id),
+    judged AS (SELECT strategy, retriever, query_id, rank, list_intersect(blocks, g) AS cov, len(g) AS gs FROM hits JOIN golds ON query_id = item_id),
+    per AS (SELECT strategy, retriever, query_id, any_value(gs) AS gs, coalesce(min(rank) FILTER (len(cov) > 0), 0) AS first_relevant_rank,
+        count(*) FILTER (len(cov) > 0) AS nr, coalesce(sum(1.0 / log2(rank + 1)) FILTER (len(cov) > 0 AND rank <= 5), 0) AS dcg,
+        {", ".join(f"len(list_distinct(flatten(list(cov) FILTER (rank <= {k})))) AS c{k}" for k in (1, 3, 5))} FROM judged GROUP BY ALL),
+    rated_q AS (SELECT strategy, retriever, query_id, first_relevant_rank, CASE WHEN first_relevant_rank > 0 THEN 1.0 / first_relevant_rank ELSE 0.0 END AS reciprocal_rank,
+        CASE WHEN nr > 0 THEN dcg / list_sum(list_transform(range(1, least(nr, 5) + 1), lambda i: 1.0 / log2(i + 1))) ELSE 0.0 END AS ndcg,
+        {", ".join(f"c{k} / gs AS recall_{k}, CAST(c{k} > 0 AS INT) AS hit_{k}, CAST(c{k} = gs AS INT) AS full_{k}" for k in (1, 3, 5))} FROM per),
+    metrics AS (SELECT strategy, retriever, count(*) AS queries, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg), 6) AS ndcg_5,
+        {", ".join(f"round(avg({m}_{k}), 6) AS {m}_{k}" for m in ("recall", "hit", "full") for k in (1, 3, 5))} FROM rated_q GROUP BY ALL)"""
+_CASES = f"""{_PER},
+    byq AS (SELECT retriever, query_id, max(recall_5) FILTER (strategy = 'line') AS own,
+        max(CASE WHEN first_relevant_rank > 0 THEN first_relevant_rank ELSE 10000 END) FILTER (strategy = 'line') AS own_rank,
+        max(CASE WHEN first_relevant_rank > 0 THEN first_relevant_rank ELSE 10000 END) FILTER (strategy = 'fixed') AS base_rank, count(DISTINCT round(recall_5, 9)) AS kinds FROM rated_q GROUP BY ALL),
+    cases AS (SELECT retriever, query_id, round(own, 6) AS recall, CASE WHEN own IS NULL THEN 'target_absent' WHEN own < 1 THEN 'target_missing'
+        WHEN base_rank < own_rank THEN 'baseline_beats_target' WHEN kinds > 1 THEN 'strategy_disagreement' ELSE 'target_ok' END AS case_type FROM byq)"""
+_M = evaluation.METRICS
 SQL = {
-    "bm25_topk": f"""
-    {S.BM25_SCORES}
-    SELECT item_id, doc_id, score, rank FROM (
-      SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
-      FROM (SELECT item_id, doc_id, round(score, 6) AS score FROM scored)) WHERE rank <= 5""",
+    "bm25_stats": f"WITH {_DOCS} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM d_post) AS postings, (SELECT count(*) FROM d_df) AS terms FROM d_n",
+    "bm25_postings": f"WITH {_DOCS} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM d_post GROUP BY term",
+    "bm25_topk": f"WITH {_DOCS} SELECT item_id, unit AS doc_id, score, rank FROM {_top('d_bm25', 5)}",
+    "bm25_okapi_topk": f"""WITH {_DOCS}, raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM d_df, d_n), fl AS (SELECT avg(idf) * 0.25 AS f FROM raw),
+      okapi AS (SELECT item_id, unit, sum(qtf * CASE WHEN idf < 0 THEN f ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+        FROM q JOIN raw USING (term) JOIN d_post USING (term), d_n, fl GROUP BY item_id, unit) SELECT item_id, unit AS doc_id, score, rank FROM {_top('okapi', 5)}""",
+    "dense_topk": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+      u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM v),
+      m AS (SELECT label, list(m ORDER BY i) AS q FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM u) GROUP BY ALL) GROUP BY label),
+      s AS (SELECT m.label, vec_id, round(list_inner_product(q, u), 5) AS score FROM m, u)
+      SELECT label, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "cosine_topk": f"WITH {_DOCS} SELECT item_id, unit AS doc_id, score, rank FROM {_top('d_cos', 5)}",
+    "hybrid_topk": f"""WITH {_DOCS}, a AS (SELECT item_id, unit, round(score, 6) AS s FROM d_bm25), b AS (SELECT item_id, unit, round(score, 6) AS s FROM d_cos),
+      sa AS (SELECT item_id, unit, CASE WHEN max(s) OVER w = min(s) OVER w THEN 0.0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS x FROM a WINDOW w AS (PARTITION BY item_id)),
+      sb AS (SELECT item_id, unit, CASE WHEN max(s) OVER w = min(s) OVER w THEN 0.0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS x FROM b WINDOW w AS (PARTITION BY item_id)),
+      fused AS (SELECT item_id, unit, 0.55 * coalesce(sa.x, 0.0) + 0.45 * coalesce(sb.x, 0.0) AS score FROM sa FULL JOIN sb USING (item_id, unit))
+      SELECT item_id, unit AS doc_id, score, rank FROM {_top('fused', 5)}""",
+    "gold_containment": f"WITH {_HELD} SELECT item_id, doc_id FROM held",
+    "evidence_match": f"WITH {views.LINES_SQL}, {_MATCH} SELECT query_id, doc_id::VARCHAR AS doc_id, place, block_id, score, method FROM matched",
+    "query_hits": f"{_UNITS} SELECT strategy, retriever, item_id AS query_id, rank, unit, score FROM hits WHERE rank <= 5",
+    "eval_per_query": f"""{_PER} SELECT strategy, retriever, query_id, first_relevant_rank, round(reciprocal_rank, 6)::DOUBLE AS reciprocal_rank, round(ndcg, 6) AS ndcg,
+        round(recall_1, 6) AS recall_1, round(recall_3, 6) AS recall_3, round(recall_5, 6) AS recall_5, hit_5, full_5 FROM rated_q""",
+    "eval_metrics": f"{_PER} SELECT * FROM metrics",
+    "baseline_delta": f"""{_PER} SELECT m.strategy, m.retriever, {", ".join(f"round(m.{x} - b.{x}, 6) AS d_{x}" for x in _M)},
+        {", ".join(f"round(CASE WHEN b.{x} <> 0 THEN (m.{x} - b.{x}) / b.{x} * 100 END, 2) AS r_{x}" for x in _M)}
+        FROM metrics m JOIN metrics b ON b.retriever = m.retriever AND b.strategy = 'fixed' WHERE m.strategy <> 'fixed'""",
+    "best_by_metric": f"""{_PER} SELECT strategy, retriever, metric, value, place FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, strategy, retriever) AS place
+        FROM ({" UNION ALL ".join(f"SELECT strategy, retriever, '{x}' AS metric, {x} AS value FROM metrics" for x in _M)})) WHERE place <= 5""",
+    "case_type": f"{_CASES} SELECT * FROM cases",
+    "bad_cases": f"""{_CASES} SELECT *, row_number() OVER (PARTITION BY retriever ORDER BY CASE WHEN case_type = 'target_missing' THEN 0 ELSE 1 END, recall, query_id) AS place
+        FROM cases WHERE case_type IN ('target_missing', 'baseline_beats_target', 'strategy_disagreement')""",
 }

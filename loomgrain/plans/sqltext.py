@@ -36,17 +36,3 @@ def bag(x: str) -> str:
 def sentences(x: str) -> str:
     marked = rf"regexp_replace(regexp_replace({normalize(x)}, '([.!?])\s+', '\1' || chr(1), 'g'), '([。！？])\s*', '\1' || chr(1), 'g')"
     return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: trim(s)), lambda s: s <> '')"
-
-
-BM25_SCORES = f"""
-    WITH toks AS (SELECT doc_id, CASE WHEN len(t) = 0 THEN ['__empty__'] ELSE t END AS t
-                  FROM (SELECT doc_id, {bm25_tokens('text')} AS t FROM documents)),
-    stats AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM toks),
-    post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl
-             FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY doc_id, term),
-    dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-    q AS (SELECT item_id, term, count(*) AS qtf
-          FROM (SELECT item_id, unnest({bm25_tokens('text')}) AS term FROM benchmark) GROUP BY item_id, term),
-    scored AS (SELECT item_id, doc_id,
-        sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
-        FROM q JOIN dfs USING (term) JOIN post USING (term), stats GROUP BY item_id, doc_id)"""
