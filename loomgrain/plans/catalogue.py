@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrain.plans import checks, chunking, retrieval, texts
+from loomgrain.plans import checks, chunking, ingest, retrieval, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES = (texts, chunking, retrieval, checks)
+_MODULES = (texts, chunking, retrieval, checks, ingest)
 
 
 def queries() -> dict[str, Query]:
