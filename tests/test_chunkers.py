@@ -71,19 +71,19 @@ def test_short_chunks_merge_to_the_right(spark):
     text = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
     rows = [("paragraph", text(0, 5), ["A"]), ("paragraph", text(1, 28), ["A"]), ("paragraph", text(2, 5), ["B"])]
     config = boundary.StructureConfig(min_tokens=10, target_tokens=20, max_tokens=30, include_title_context=False, adaptive_boundary=False)
-    out = sorted(folded.structure_chunks(blocks(spark, rows), config).collect(), key=lambda c: c.index)
+    out = sorted(folded.structure_chunks(blocks(spark, rows), config).collect(), key=lambda c: c["index"])
     assert [c.source_blocks for c in out] == [["b1"], ["b2"], ["b3"]]  # 5 + 28 > 30, and B is another title
     config = boundary.StructureConfig(min_tokens=10, target_tokens=20, max_tokens=40, include_title_context=False, adaptive_boundary=False, semantic_distance_threshold=0.1)
-    out = sorted(folded.structure_chunks(blocks(spark, rows), config).collect(), key=lambda c: c.index)
-    assert [c.index for c in out] == list(range(1, len(out) + 1))
+    out = sorted(folded.structure_chunks(blocks(spark, rows), config).collect(), key=lambda c: c["index"])
+    assert [c["index"] for c in out] == list(range(1, len(out) + 1))
 
 
 def test_fixed_packs_and_cuts(spark):
     w = lambda n, p="x": " ".join(f"{p}{i}" for i in range(n))
-    out = sorted(fixed.chunks(blocks(spark, [("paragraph", w(300), []), ("paragraph", w(300), []), ("paragraph", w(100), [])])).collect(), key=lambda c: c.index)
+    out = sorted(fixed.chunks(blocks(spark, [("paragraph", w(300), []), ("paragraph", w(300), []), ("paragraph", w(100), [])])).collect(), key=lambda c: c["index"])
     assert [c.source_blocks for c in out] == [["b1"], ["b2", "b3"]]
     config = fixed.FixedConfig(target_tokens=4, overlap_tokens=1, min_tokens=1, max_tokens=4)
-    out = sorted(fixed.chunks(blocks(spark, [("paragraph", "a b", []), ("paragraph", w(10, "w"), []), ("paragraph", "c", [])]), config).collect(), key=lambda c: c.index)
+    out = sorted(fixed.chunks(blocks(spark, [("paragraph", "a b", []), ("paragraph", w(10, "w"), []), ("paragraph", "c", [])]), config).collect(), key=lambda c: c["index"])
     assert [c.text for c in out] == ["a b", "w0 w1 w2 w3", "w3 w4 w5 w6", "w6 w7 w8 w9", "c"]
     assert "split_long_block" in out[1].quality_flags and "split_long_block" not in out[0].quality_flags
 
@@ -104,8 +104,8 @@ def test_every_block_is_in_a_chunk(spark, sf):
         assert {b for c in chunks for b in c.source_blocks} == want
         by_doc = {}
         for c in chunks:
-            by_doc.setdefault(c.doc_id, []).append(c.index)
-            assert c.token_count == folds.size(folds.normalize(c.text))
+            by_doc.setdefault(c.doc_id, []).append(c["index"])
+            assert c.token_count == folds.size(folds.normalize(c.text)), c.text
         assert all(sorted(x) == list(range(1, len(x) + 1)) for x in by_doc.values())
 
 
