@@ -7,6 +7,8 @@ model's token estimates define it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,6 +34,11 @@ def _col(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside a lambda an expression would be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(text: Column | str) -> Column:
     """Null becomes empty; runs of Unicode white space become one space; both ends trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(_col(text), F.lit("")), r"(?U)\s+", " "))
@@ -127,10 +134,13 @@ def word_windows(text: Column | str, most: int, overlap: int = 0) -> Column:
     over = estimate_tokens(t) > most
     words = F.when(over & t.rlike(f"[{CJK}]"), mixed).otherwise(F.split(t, " "))
     step = max(1, most - max(0, overlap))
-    count = F.size(words)
-    last = F.greatest(F.lit(0), F.ceil((count - most) / step)).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * step)
-    windows = F.transform(starts, lambda s: join_pieces(F.slice(words, s + 1, most)))
+
+
+    def cut(held: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(held) - most) / step)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: join_pieces(F.slice(held, i * step + 1, most)))
+
+    windows = let(words, cut)
     return F.when(t == "", F.array().cast("array<string>")).otherwise(windows)
 
 
@@ -241,12 +251,15 @@ def common_path(paths: Column) -> Column:
 
 def frequent(words: Column, most: int) -> Column:
     """The most frequent words; ties go to the one met first."""
-    size = F.size(words)
-    ranked = F.transform(
-        F.array_distinct(words),
-        lambda w: F.struct((F.size(F.array_remove(words, w)) - size).alias("k"), F.array_position(words, w).alias("p"), w.alias("w")),
-    )
-    return F.slice(F.transform(F.array_sort(ranked), lambda s: s["w"]), 1, most)
+
+
+    def ranked(held: Column) -> Column:
+        return F.transform(
+            F.array_distinct(held),
+            lambda w: F.struct((F.size(F.array_remove(held, w)) - F.size(held)).alias("k"), F.array_position(held, w).alias("p"), w.alias("w")),
+        )
+
+    return F.slice(F.transform(F.array_sort(let(words, ranked)), lambda s: s["w"]), 1, most)
 
 
 def nearest_rank(values: Column, q: float) -> Column:

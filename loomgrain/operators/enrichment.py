@@ -38,9 +38,13 @@ def risk() -> Column:
 def dedupe(values: Column, most: int) -> Column:
     """Trimmed, empties dropped, the first of each case-insensitive value kept, at most most."""
     trimmed = F.filter(F.transform(values, T.normalize), lambda v: v != "")
-    lower = F.transform(trimmed, F.lower)
-    first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(trimmed), F.lit(1))), lambda i: F.array_position(lower, F.get(lower, i - 1)) == i)
-    return F.slice(F.transform(first, lambda i: F.get(trimmed, i - 1)), 1, most)
+
+    def kept(held: Column) -> Column:
+        lower = F.transform(held, F.lower)
+        first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(held), F.lit(1))), lambda i: F.array_position(lower, F.get(lower, i - 1)) == i)
+        return F.transform(first, lambda i: F.get(held, i - 1))
+
+    return F.slice(T.let(trimmed, kept), 1, most)
 
 
 def clamp(value: Column, default: Column) -> Column:

@@ -12,9 +12,12 @@ LEAST = 0.18
 
 
 def _windows(words):
-    n = F.size(words)
-    at = F.when(n >= _KEY, F.sequence(F.lit(1), n - _KEY + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(words, i, _KEY), " "))))
+    def hashes(held):
+        n = F.size(held)
+        at = F.when(n >= _KEY, F.sequence(F.lit(1), n - _KEY + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(held, i, _KEY), " ")))
+
+    return F.array_distinct(T.let(words, hashes))
 
 
 def containment(items: DataFrame, docs: DataFrame, item_key: str = "item_id", doc_key: str = "doc_id") -> DataFrame:
