@@ -14,16 +14,17 @@ Jaccard similarity reaches the threshold; the result is each document's class un
 4. Documents with equal size and equal prefix are collapsed into groups (those that the
    group's first member verifies). Groups meet in the lists of their prefix tokens, and
    a pair must pass the size filter and the position filter.
-5. Lists are first worked off in rounds that pair each member with one random other of
-   another class and verify, so that large groups of near copies become one class after
-   few comparisons. Then all remaining pairs of groups in different classes are
+5. Lists are first worked off in rounds. A round deals each list at random into slots of
+   a few members (more from round to round), pairs those of different classes within a
+   slot and verifies them, so that large groups of near copies become one class after few
+   comparisons and stragglers find it. Then all remaining pairs of groups in different classes are
    enumerated (members of a list's largest class only against others), expanded to
    members and verified. No candidate is dropped: a pair is skipped only when its two
    documents are in one class already, where a link would change nothing.
 
 A token that a large share of all documents holds never goes through a token range: such
 tokens, whose number is bounded by the mean set size over that share, are found in the
-first pass, broadcast, and ordered last. Long token lists are salted.
+first pass, broadcast, and ordered last. In the rounds a long token list is spread over its slots.
 
 Overlap is counted over the tokens that occur more than once; no other can be shared.
 
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.llm import components
@@ -55,8 +56,7 @@ FAN = 256  # parts that one exchange makes of a blob
 HOT_LEAST = 1_000  # and in at least so many
 HOT_SHARE = 16  # a token in more than 1/16 of all documents is hot
 COPIES = 2_000_000  # ids of collapsed documents that may be broadcast
-LIST = 2_000  # members of a token list that one window holds
-ROUNDS = 3
+SLOTS = (2, 8, 16, 32)  # by round: about so many random members of a token list meet
 _ENTRY = np.dtype([("token", "<u8"), ("df", "<u4"), ("doc", "<u4")])
 _DOC = np.dtype([("digest", "S16"), ("n", "<u4")])
 _LOW = np.uint64(0xFFFF)
@@ -322,30 +322,40 @@ def linked_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         ),
         "postings",
     )
-    for turn in range(ROUNDS):
+    for turn, slot in enumerate(SLOTS):
         mixed = written(_mixed(postings, labels), "mixed")
         if mixed.isEmpty():
             return labels
-        salt = F.pmod(F.xxhash64("gid", F.lit(turn)), F.greatest(F.lit(1), F.floor(F.col("c") / LIST)))
-        near = Window.partitionBy("token", "salt").orderBy(F.xxhash64("gid", "token", F.lit(turn)), "gid")
-        chained = mixed.withColumn("salt", salt).withColumns(
-            {"other": F.lag("gid").over(near), "m": F.lag("n").over(near), "other_pos": F.lag("pos").over(near), "other_label": F.lag("label").over(near)}
-        )
-        pairs = chained.filter(F.col("other").isNotNull() & (F.col("label") != F.col("other_label")) & _may_link(threshold)).select(*_pair("gid", "other")).distinct()
-        found = _verified(pairs, docs, threshold)
-        labels = components.merge(labels, written(found, "links"))
+        dealt = mixed.withColumn("slot", F.pmod(F.xxhash64("gid", "token", F.lit(turn)), F.greatest(F.lit(1), F.ceil(F.col("c") / slot))))
+        # At first every label is small; later a list's largest class is met only by the members outside it.
+        left = dealt if turn == 0 else dealt.filter("NOT major")
+        met = left.join(_other(dealt, "slot"), ["token", "slot"]).filter(_apart(turn > 0) & _may_link(threshold))
+        pairs = met.select(*_pair("gid", "other")).distinct()
+        labels = components.merge(labels, written(_verified(pairs, docs, threshold), "links"))
     mixed = written(_mixed(postings, labels), "mixed")
     if mixed.isEmpty():
         return labels
     # A list's largest class meets only the members outside it; of those each pair comes once.
-    other = mixed.select("token", F.col("gid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("other_pos"), F.col("label").alias("other_label"), F.col("major").alias("other_major"))
-    apart = (F.col("label") != F.col("other_label")) & (F.col("other_major") | (F.col("gid") < F.col("other"))) & _may_link(threshold)
-    met = mixed.filter("NOT major").join(other, "token").filter(apart).select(*_pair("gid", "other")).distinct()
+    met = mixed.filter("NOT major").join(_other(mixed), "token").filter(_apart(True) & _may_link(threshold)).select(*_pair("gid", "other")).distinct()
     each = lambda x: members.select(F.col("gid").alias(x), F.col("id").alias(f"{x}_id"))
     expanded = met.join(each("a"), "a").join(each("b"), "b").select(*_pair("a_id", "b_id"))
     return components.merge(labels, written(_verified(expanded, docs, threshold), "links"))
 
 
+def _other(mixed: DataFrame, *more: str) -> DataFrame:
+    """The other side of a list's self-join."""
+    return mixed.select(
+        "token", *more, F.col("gid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("other_pos"),
+        F.col("label").alias("other_label"), F.col("major").alias("other_major"),
+    )
+
+
+def _apart(minor: bool) -> Column:
+    """Different classes, each pair once; minor: the left side is never of its list's largest class."""
+    once = F.col("gid") < F.col("other")
+    return (F.col("label") != F.col("other_label")) & ((F.col("other_major") | once) if minor else once)
+
+
 def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of lists that hold more than one class, with label, the list's length c, and whether the label is its largest."""
     held = postings.join(labels.withColumnRenamed("id", "gid"), "gid")

@@ -70,7 +70,7 @@ def test_repeated_ids_and_nulls(spark):
 def test_small_parts_hot_tokens_and_splitting(spark, monkeypatch):
     rows = corpus(7, bases=6, copies=30)
     want = brute(rows)
-    for name, value in {"RANGE": 40, "FAN": 3, "LIST": 4, "COPIES": -1, "GROUP_BYTES": 2000, "ROUNDS": 1}.items():
+    for name, value in {"RANGE": 40, "FAN": 3, "COPIES": -1, "GROUP_BYTES": 2000, "SLOTS": (2,)}.items():
         monkeypatch.setattr(J, name, value)
     assert ours(spark, rows) == want
 
