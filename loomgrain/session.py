@@ -36,7 +36,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df as Parquet under the shared folder and read it back.
 
     Unlike a local checkpoint the files outlive any executor, and unlike a cached
-    table they are never recomputed. The folder name is unique for each call.
+    table they are never recomputed. The folder name is unique for each call; the files
+    stay until the owner of the shared folder clears it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
@@ -44,14 +45,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete tables made by written() that nothing reads any more."""
-    for frame in frames:
-        for file in frame.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables by Spark's own reader (the store may be one only Spark can open)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
