@@ -12,8 +12,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 PIECE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
@@ -106,12 +108,9 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def text_map(work: Callable[[pa.RecordBatch], pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Callable:
-    """A mapInArrow function that applies work to every piece."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in pieces(batch, text, limit):
-                yield work(piece)
-
-    return run
+def arrow_map(rows: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """rows.mapInArrow with batches of at most BATCH_ROWS rows, for the session from here on: a batch of long texts stays small on both sides."""
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return rows.mapInArrow(work, schema)

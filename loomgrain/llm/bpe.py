@@ -29,10 +29,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrain.llm.batches import pieces
+from loomgrain.llm.batches import arrow_map, pieces
 
 LONG = 200
-CACHE = 300_000
+CACHE = 100_000
 #: Fixed value: how byte-level vocabularies of this kind split a text before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NONE = 1 << 60
@@ -184,4 +184,4 @@ def encode(rows: DataFrame, tables_: Tables, text: str = "text", ids: bool = Tru
                 arrays = [pa.array(c, m[1]) for c, m in zip(columns, made, strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], [*piece.schema.names, *(m[0] for m in made)])
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)

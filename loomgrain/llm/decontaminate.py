@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.batches import ALNUM, mix, pieces, words
+from loomgrain.llm.batches import ALNUM, arrow_map, mix, pieces, words
 
 # Which words of a window count.
 MASKS = ("111011010", "110101101", "101110011", "111111000")
@@ -177,5 +177,5 @@ def flag(rows: DataFrame, benchmark: DataFrame, text: str = "text", item_key: st
                     ]
                     yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(new, kind)], [*names, "leaks"])
 
-        out = out.mapInArrow(run, schema)
+        out = arrow_map(out, run, schema)
     return out

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgrain.llm.batches import pieces
+from loomgrain.llm.batches import arrow_map, pieces
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>")
 _LABELS = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -462,4 +462,4 @@ def extract(rows: DataFrame, html: str = "html", weights: tuple[np.ndarray, np.n
                 arrays = [pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], [*piece.schema.names, "text", "n_chars"])
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)

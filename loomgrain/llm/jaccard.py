@@ -45,13 +45,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.llm import components
-from loomgrain.llm.batches import NOT_SPACE, pieces, shingles, words
+from loomgrain.llm.batches import NOT_SPACE, arrow_map, pieces, shingles, words
 from loomgrain.session import written
 
 WORDS = 5
 THRESHOLD = 75  # per cent
-GROUP_BYTES = 8 << 20  # text of documents whose entries share blobs
-RANGE = 3_000_000  # entries that a token range or a document bucket should hold
+GROUP_BYTES = 4 << 20  # text of documents whose entries share blobs
+RANGE = 1_500_000  # entries that a token range or a document bucket should hold
 FAN = 256  # parts that one exchange makes of a blob
 HOT_LEAST = 1_000  # and in at least so many
 HOT_SHARE = 16  # a token in more than 1/16 of all documents is hot
@@ -390,7 +390,7 @@ def similar_classes(rows: DataFrame, key: str = "doc_id", text: str = "text", th
     """One row for each row: key, n_shingles, component_id (the least key that links reach)."""
     spark = rows.sparkSession
     slim = rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    measured = written(slim.mapInArrow(_measured("id", "text"), "id long, n long, digest string, token long, seen long"), "sets")
+    measured = written(arrow_map(slim, _measured("id", "text"), "id long, n long, digest string, token long, seen long"), "sets")
     sets = measured.filter("token IS NULL")
     classes = written(sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n")), "classes")
     count, total, extra = classes.agg(F.count("*"), F.sum("n"), F.sum(F.col("size") - 1)).first()
@@ -410,7 +410,7 @@ def similar_classes(rows: DataFrame, key: str = "doc_id", text: str = "text", th
     else:
         single = slim.filter("id IS NULL").unionByName(slim.join(reps, "id", "left_semi"))
     parts, buckets = max(1, -(-total // RANGE)), max(1, -(-total // (4 * RANGE)))
-    blobs = single.mapInArrow(_packed("text", min(parts, FAN), held), _BLOB)
+    blobs = arrow_map(single, _packed("text", min(parts, FAN), held), _BLOB)
     blobs = _exchange(blobs, parts, np.dtype("<u8"), _token_route)
     shared = blobs.groupBy("route").applyInArrow(_counted(min(buckets, FAN)), _BLOB)
     shared = _exchange(shared, buckets, _ENTRY, _doc_route)

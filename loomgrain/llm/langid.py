@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.batches import mix, pieces, span_hashes
+from loomgrain.llm.batches import arrow_map, mix, pieces, span_hashes
 
 ORDER = 5
 SAMPLE = 500
@@ -219,7 +219,7 @@ def train(rows: DataFrame, label: str = "lang", text: str = "text", sample: int
     picked = rows.withColumn("u", draw / share).filter("u < 1").limit(2 * sample * len(sizes))
     parts = picked.withColumn("use", F.col("u") < 0.8).drop("u")
     counts = (
-        parts.filter("use").drop("use").mapInArrow(_counted("text", "label"), "label string, word string, n long")
+        arrow_map(parts.filter("use").drop("use"), _counted("text", "label"), "label string, word string, n long")
         .groupBy("label", "word").agg(F.sum("n").alias("n")).toArrow()
     )
     words = list(zip(*(counts.column(c).to_pylist() for c in ("label", "word", "n")), strict=True))
@@ -264,7 +264,7 @@ def identify(rows: DataFrame, models: Models | None, text: str = "text") -> Data
                 arrays = [pa.array(v, k) for v, (_, k, _) in zip(made, _MADE, strict=True)]
                 yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], [*piece.schema.names, *(x[0] for x in _MADE)])
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def fold(key: str, folds: int) -> Column:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.batches import _ASCII_LOWER, NOT_SPACE, pieces, span_hashes, text_bytes, word_spans
+from loomgrain.llm.batches import _ASCII_LOWER, NOT_SPACE, arrow_map, pieces, span_hashes, text_bytes, word_spans
 
 SAMPLE = 20_000
 BINS, PAIR_BINS = 32, 8
@@ -224,7 +224,7 @@ def features(rows: DataFrame, text: str = "text") -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), flat], [*names, "_x"])
 
-    return rows.select(*names, text).mapInArrow(run, schema)
+    return arrow_map(rows.select(*names, text), run, schema)
 
 
 def train(featured: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> Gam:
