@@ -8,7 +8,8 @@ the columns of documents. Each works on all rows its predecessor kept:
 2. line dedup: lines that a source repeats on more than the boilerplate ratio of its
    documents are cut from the texts; every document stays (n_chars follows the text);
 3. n-gram Jaccard join: of each class of near-duplicates the document with the least id
-   stays (of equal rows, or ids that occur more than once, one row);
+   stays, as one row, however often ids occur (a row without an id can't name a class:
+   of those one row of each class stays beside the named one);
 4. benchmark decontamination: documents that hold a benchmark passage go;
 5. BPE encoding and decoding: every document gets its token count and hashes.
 """
@@ -36,17 +37,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its class stays. Rows that share an id, or have none, are told apart by their text."""
-    classes = written(jaccard.similar_classes(docs), "classes")
+    """The document that names its class stays. Rows that share an id, or have none, are told apart by their set's digest."""
+    classes = written(jaccard.classified(docs), "classes")
     gone = classes.filter("component_id <> doc_id").select("doc_id").distinct()
     plain = docs.select(*COLUMNS)
     repeated = written(classes.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     rest = plain.join(gone, "doc_id", "left_anti")
     if repeated.isEmpty() and classes.filter("doc_id IS NULL").isEmpty():
         return rest.select(*COLUMNS)
-    # Without unique ids a row's own class is not known by its id alone: equal (id, text) rows become one, others stay.
+    # An id that stands once is its row's key. Elsewhere (id, digest) is: of a class's, the least stays, as its least row.
     odd = plain.filter("doc_id IS NULL").unionByName(plain.join(repeated, "doc_id", "left_semi").select(*COLUMNS))
-    return rest.filter("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(odd.dropDuplicates(["doc_id", "text"]))
+    odd = written(jaccard.digested(odd), "odd")
+    least = classes.filter("label IS NOT NULL").groupBy("label", F.col("doc_id").isNull().alias("nameless")).agg(F.min(F.struct("doc_id", "digest")).alias("m"))
+    stay = least.select(F.col("m.doc_id").alias("_id"), F.col("m.digest").alias("_d"))
+    kept = odd.join(stay, odd["doc_id"].eqNullSafe(stay["_id"]) & (odd["_digest"] == stay["_d"]), "left_semi")
+    # Texts without words have no class: equal (id, text) rows become one.
+    same = kept.unionByName(odd.filter("_digest IS NULL")).withColumn("_empty", F.when(F.col("_digest").isNull(), F.col("text")))
+    one = same.groupBy("doc_id", "_digest", "_empty").agg(F.min(F.struct(*COLUMNS)).alias("r")).select("r.*")
+    return rest.filter("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomgrain.llm import components
 from loomgrain.llm.batches import NOT_SPACE, arrow_map, pieces, shingles, words
@@ -386,8 +387,21 @@ def _doc_route(entry: np.ndarray, docs: np.ndarray, parts: int) -> np.ndarray:
     return ((_head(docs["digest"])[entry["doc"]] * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def similar_classes(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row for each row: key, n_shingles, component_id (the least key that links reach)."""
+def digested(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with _digest, the digest of the text's set (null where that is empty)."""
+    kind = T.StructType([*rows.schema.fields, T.StructField("_digest", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text):
+                own = [digest(s).hex() if len(s) else None for s in sets_of(piece.column(text))]
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(own, pa.string())], kind.names)
+
+    return arrow_map(rows, run, kind)
+
+
+def classified(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """One row for each row: key, n_shingles, component_id, and its set's digest and class label (null for an empty set)."""
     spark = rows.sparkSession
     slim = rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     measured = written(arrow_map(slim, _measured("id", "text"), "id long, n long, digest string, token long, seen long"), "sets")
@@ -395,7 +409,8 @@ def similar_classes(rows: DataFrame, key: str = "doc_id", text: str = "text", th
     classes = written(sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("n").alias("n")), "classes")
     count, total, extra = classes.agg(F.count("*"), F.sum("n"), F.sum(F.col("size") - 1)).first()
     if not count:
-        return sets.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+        none = F.lit(None).cast("string")
+        return sets.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "digest", none.alias("label"))
     # 1/HOT_SHARE of the documents: at most HOT_SHARE * (mean set size) tokens.
     seen = measured.filter("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
     rows_in = sets.count()
@@ -419,7 +434,12 @@ def similar_classes(rows: DataFrame, key: str = "doc_id", text: str = "text", th
     labels = linked_classes(docs, threshold)
     named = labels.join(classes, labels["id"] == classes["digest"]).select("digest", "label", "rep")
     least = named.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("k")).filter("k > 1")
-    moved = named.join(least, "label").select("digest", "component")
-    final = classes.join(moved, "digest", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    moved = named.join(least, "label").select("digest", "label", "component")
+    final = classes.join(moved, "digest", "left").select("digest", F.coalesce("label", "digest").alias("label"), F.coalesce("component", "rep").alias("component"))
     out = sets.join(final, "digest", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), "digest", "label")
+
+
+def similar_classes(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """One row for each row: key, n_shingles, component_id (the least key that links reach)."""
+    return classified(rows, key, text, threshold).select(key, "n_shingles", "component_id")

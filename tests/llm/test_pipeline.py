@@ -56,3 +56,17 @@ def test_odd_rows(spark, sf):
         assert stage(spark, docs, sf).count() <= len(rows)
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert P.near_duplicates(spark, docs.limit(0), sf).count() == 0
+
+
+def test_one_row_of_a_class_stays_whatever_the_ids(spark, sf):
+    base = [f"w{i}" for i in range(80)]
+    near, other = " ".join(base[:-1] + ["x"]), " ".join(f"o{i}" for i in range(30))
+    text = " ".join(base)
+    rows = [(5, text, "en", "a", 1), (5, text.upper(), "en", "b", 1), (7, near, "en", "a", 1), (8, other, "en", "a", 1), (5, other, "en", "a", 1), (9, text, "en", "a", 1)]
+    rows += [(10, "", "en", "a", 0), (11, near, "en", "c", 1), (3, "alone " * 9, "en", "a", 1)] + [(None, near, "en", "a", 1), (None, text, "en", "a", 1)]
+    kept = P.near_duplicates(spark, spark.createDataFrame(rows * 2, SCHEMA), sf).collect()
+    named = sorted((r.doc_id, r.text.split(" ")[0].lower()) for r in kept if r.doc_id is not None)
+    assert named == [(3, "alone"), (5, "o0"), (5, "w0"), (10, "")]
+    assert sum(r.doc_id is None for r in kept) == 1
+    once = P.near_duplicates(spark, spark.createDataFrame(rows[2:4] + rows[5:6] + rows[7:8] * 2, SCHEMA), sf).collect()
+    assert sorted(r.doc_id for r in once) == [7, 8]
