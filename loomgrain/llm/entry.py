@@ -54,8 +54,8 @@ def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document's class under links of similarity 0.75 or more over 5-word shingles."""
-    return jaccard.similar_classes(table(spark, sf, "documents"))
+    """Every document's class under links of similarity 0.75 or more over 5-word shingles, and its number of links."""
+    return jaccard.similar_links(table(spark, sf, "documents"))
 
 
 def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:

@@ -26,6 +26,10 @@ A token that a large share of all documents holds never goes through a token ran
 tokens, whose number is bounded by the mean set size over that share, are found in the
 first pass, broadcast, and ordered last. In the rounds a long token list is spread over its slots.
 
+similar_links also counts every document's links: as no link leaves a class, each class of
+different sets is compared with itself in blocks, all sets with all, and equal sets count
+by their number.
+
 Overlap is counted over the tokens that occur more than once; no other can be shared.
 
 Defined cases: null text and text without words have an empty set, n_shingles 0, and
@@ -58,6 +62,9 @@ HOT_LEAST = 1_000  # and in at least so many
 HOT_SHARE = 16  # a token in more than 1/16 of all documents is hot
 COPIES = 2_000_000  # ids of collapsed documents that may be broadcast
 SLOTS = (2, 8, 16, 32)  # by round: about so many random members of a token list meet
+BLOCK_SETS = 1_024  # sets of a class that one side of a cell holds
+BLOCK_TOKENS = 1_500_000  # and their tokens
+COLUMNS = 2_048  # tokens compared at once
 _ENTRY = np.dtype([("token", "<u8"), ("df", "<u4"), ("doc", "<u4")])
 _DOC = np.dtype([("digest", "S16"), ("n", "<u4")])
 _LOW = np.uint64(0xFFFF)
@@ -400,8 +407,81 @@ def digested(rows: DataFrame, text: str = "text") -> DataFrame:
     return arrow_map(rows, run, kind)
 
 
-def classified(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """One row for each row: key, n_shingles, component_id, and its set's digest and class label (null for an empty set)."""
+def _shared(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each list of a has in common with each of b."""
+    flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)]
+    doc = [np.repeat(np.arange(len(x)), [len(t) for t in x]) for x in (a, b)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(a), len(b)), np.float32)
+    at = [np.searchsorted(both, f) for f in flat]
+    held = [both[np.minimum(p, len(both) - 1)] == f if len(both) else np.zeros(len(f), bool) for p, f in zip(at, flat, strict=True)]
+    at, doc = [p[h] for p, h in zip(at, held, strict=True)], [d[h] for d, h in zip(doc, held, strict=True)]
+    for start in range(0, len(both), COLUMNS):
+        sides = []
+        for p, d, x in zip(at, doc, (a, b), strict=True):
+            some = (p >= start) & (p < start + COLUMNS)
+            side = np.zeros((len(x), min(COLUMNS, len(both) - start)), np.float32)
+            side[d[some], p[some] - start] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _linked(threshold: int):
+    """Of one cell: for each set of the left side, the documents of the right side's sets that it links with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        label = np.asarray(table.column("label").to_pylist(), object)
+        left, right = (np.asarray(table.column(c)) for c in ("left", "right"))
+        n, size = np.asarray(table.column("n")), np.asarray(table.column("size"))
+        ids = np.asarray(table.column("id").to_pylist(), object)
+        tokens = table.column("tokens").combine_chunks()
+        begin, flat = np.asarray(tokens.offsets), np.asarray(tokens.values)
+        order = np.argsort(label, kind="stable")
+        cut = np.concatenate([[0], np.flatnonzero(label[order][1:] != label[order][:-1]) + 1, [len(order)]])
+        found, links = [], []
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            own = order[x:y]
+            a, b = own[left[own]], own[right[own]]
+            lists = [[flat[begin[i] : begin[i + 1]] for i in side] for side in (a, b)]
+            shared = _shared(*lists).astype(np.int64)
+            links_of = (100 * shared >= threshold * (n[a][:, None] + n[b][None, :] - shared)) & (ids[a][:, None] != ids[b][None, :])
+            found += ids[a].tolist()
+            links += (links_of @ size[b]).tolist()
+        return pa.table([pa.array(found, pa.string()), pa.array(links, pa.int64())], names=["id", "links"])
+
+    return run
+
+
+def _link_counts(docs: DataFrame, named: DataFrame, threshold: int) -> DataFrame:
+    """digest, links: documents with other sets that a set links with. named: digest, label, size; docs: the candidates.
+
+    A link's ends are of one class, so each class is compared with itself, all sets with all. Large
+    classes are dealt into blocks and pairs of blocks, and only sums of a cell leave it: the rows
+    are a class's sets times its blocks, the comparisons the square of its sets.
+    """
+    sized = docs.select("id", F.size("tokens").alias("k")).join(named, F.col("id") == F.col("digest"))
+    whole = sized.groupBy("label").agg(F.count("*").alias("c"), F.sum("k").alias("t")).filter("c > 1")
+    blocks = F.ceil(F.greatest(F.col("c") / BLOCK_SETS, F.col("t") / BLOCK_TOKENS)).cast("int")
+    held = docs.select("id", "n", "tokens").join(named, F.col("id") == F.col("digest")).drop("digest")
+    held = held.join(whole.select("label", blocks.alias("blocks")), "label").withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+    parts = max(1, -(-(whole.filter(blocks == 1).agg(F.sum("t")).first()[0] or 0) // BLOCK_TOKENS))
+    cells = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A set is on the left of its block's row of cells and on the right of its block's column; a diagonal cell has it once.
+    rows = cells.select(F.col("block").alias("i"), F.col("other").alias("j"), "label", "id", "n", "tokens", "size", "blocks").withColumns({"left": F.lit(True), "right": F.col("i") == F.col("j")})
+    columns = cells.filter("block <> other").select(F.col("other").alias("i"), F.col("block").alias("j"), "label", "id", "n", "tokens", "size", "blocks")
+    every = rows.unionByName(columns.withColumns({"left": F.lit(False), "right": F.lit(True)}))
+    every = every.withColumn("cell", F.when(F.col("blocks") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(parts)).cast("string"))).drop("blocks")
+    return every.groupBy("cell", "i", "j").applyInArrow(_linked(threshold), "id string, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def similar_links(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """One row for each row: key, n_shingles, component_id, and n_links, the number of other rows it links with."""
+    return classified(rows, key, text, threshold, links=True).select(key, "n_shingles", "component_id", "n_links")
+
+
+def classified(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, links: bool = False) -> DataFrame:
+    """One row for each row: key, n_shingles, component_id, and its set's digest and class label (null for an empty set); with links also n_links."""
     spark = rows.sparkSession
     slim = rows.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     measured = written(arrow_map(slim, _measured("id", "text"), "id long, n long, digest string, token long, seen long"), "sets")
@@ -410,7 +490,7 @@ def classified(rows: DataFrame, key: str = "doc_id", text: str = "text", thresho
     count, total, extra = classes.agg(F.count("*"), F.sum("n"), F.sum(F.col("size") - 1)).first()
     if not count:
         none = F.lit(None).cast("string")
-        return sets.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "digest", none.alias("label"))
+        return sets.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), "digest", none.alias("label"), F.lit(0).cast("long").alias("n_links"))
     # 1/HOT_SHARE of the documents: at most HOT_SHARE * (mean set size) tokens.
     seen = measured.filter("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen"))
     rows_in = sets.count()
@@ -435,9 +515,15 @@ def classified(rows: DataFrame, key: str = "doc_id", text: str = "text", thresho
     named = labels.join(classes, labels["id"] == classes["digest"]).select("digest", "label", "rep")
     least = named.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("k")).filter("k > 1")
     moved = named.join(least, "label").select("digest", "label", "component")
-    final = classes.join(moved, "digest", "left").select("digest", F.coalesce("label", "digest").alias("label"), F.coalesce("component", "rep").alias("component"))
+    final = classes.join(moved, "digest", "left").select("digest", F.coalesce("label", "digest").alias("label"), F.coalesce("component", "rep").alias("component"), "size")
+    more = []
+    if links:
+        counts = _link_counts(docs, labels.join(classes, labels["id"] == classes["digest"]).select("digest", "label", "size"), threshold)
+        counts = written(counts, "links").withColumnRenamed("id", "digest")
+        final = final.join(counts, "digest", "left")
+        more = [F.coalesce(F.col("size") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links")]
     out = sets.join(final, "digest", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), "digest", "label")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), "digest", "label", *more)
 
 
 def similar_classes(rows: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:

@@ -86,3 +86,19 @@ def test_empty_and_documents(spark):
     assert ours(spark, []) == Counter() and ours(spark, [(1, None)]) == Counter([(1, 0, 1)])
     docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     assert ours(spark, docs) == brute(docs)
+
+
+def test_links_are_counted(spark, monkeypatch):
+    rows = corpus(3, bases=5) + [(900, None), (901, "alone in the world")]
+    sets = []
+    for _, text in rows:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").translate(LOWER)) if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    link = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    want = {rows[i][0]: sum(i != j and bool(a) and bool(b) and link(a, b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in J.similar_links(frame).collect()} == want
+    monkeypatch.setattr(J, "BLOCK_SETS", 3)
+    monkeypatch.setattr(J, "COLUMNS", 7)
+    found = J.similar_links(frame).collect()
+    assert {r.doc_id: r.n_links for r in found} == want and len(found) == len(rows)
