@@ -15,10 +15,14 @@ repeatable and needs no data.
 
 Text: character references are decoded, white space inside a block becomes one space,
 ends are trimmed, and blocks are joined by line feeds; nothing else is cut. Elements that
-hold no text for readers (head, script, style, template and the like) are skipped in parsing.
+hold no text for readers (title, script, style, template and the like) are skipped in
+parsing, where they are closed; of an unclosed one only the tag is skipped (an unclosed
+script or style holds the rest of the page, as in browsers).
 
 Defined cases: null and empty html and pages without content give empty text; unclosed
-and stray tags are repaired as browsers do in the common cases; nesting of any depth is
+and stray tags are repaired as browsers do in the common cases (`</>` is nothing, `</`
+before another character than a letter is a comment, `<` before one is text, and a tag
+that the page's end cuts off is dropped); nesting of any depth is
 walked without recursion; repeated rows each get their result; an empty table gives no
 rows; other columns pass through, and columns named like the results are replaced.
 """
@@ -27,6 +31,8 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -46,7 +52,11 @@ _STOPS = re.compile(r"[.,;:!?]")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-_SKIP = frozenset("head template svg math canvas audio video object select datalist noscript".split())
+_CODE = frozenset("script style".split())  # never closed, they hold the rest of the page, as in browsers
+_SKIP = frozenset("template svg math canvas audio video object select datalist".split())
+_SKIP_TAG = re.compile(rf"<(/?)({'|'.join(sorted(_SKIP))})(?=[\s/>])([^>]*)>", re.I)
+_NAMED = re.compile("</?[a-zA-Z]")
+_WALLS = frozenset("table td th button".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span"
     " strike strong sub sup time tt u var".split()
@@ -108,111 +118,142 @@ class Page:
     events: list[tuple[int, str]] = field(default_factory=list)
 
 
-def parse(html: str) -> Page:
-    """The element tree of a page; its first node stands for the page."""
-    page, stack, names = Page(), [0], [""]
-    at, size, skipping = 0, len(html), 0
-    lower = None
+class _Open:
+    """The open elements: nodes and names from the page down, with what the rules ask of them at hand."""
+
+    def __init__(self) -> None:
+        self.nodes, self.names = [0], [""]
+        self.count: Counter[str] = Counter()
+        self.paragraphs: list[int] = []
+        self.walls: list[int] = []  # beyond these no paragraph is closed
+
+    def push(self, node: int, name: str) -> None:
+        if name == "p":
+            self.paragraphs.append(len(self.names))
+        elif name in _WALLS:
+            self.walls.append(len(self.names))
+        self.nodes.append(node)
+        self.names.append(name)
+        self.count[name] += 1
+
+    def close(self, to: int) -> None:
+        self.count.subtract(self.names[to:])
+        del self.nodes[to:], self.names[to:]
+        for held in (self.paragraphs, self.walls):
+            while held and held[-1] >= to:
+                held.pop()
+
+    def end(self, name: str, block: bool) -> None:
+        """An end tag: closes the last open element of its name; an inline one doesn't close blocks."""
+        if self.count[name]:
+            for i in range(len(self.names) - 1, 0, -1):
+                if self.names[i] == name:
+                    return self.close(i)
+                if not block and self.names[i] not in _INLINE:
+                    return None
+        return None
+
+    def before(self, name: str) -> None:
+        """What the opening tag of a block closes first."""
+        if name in _CLOSES_P and self.paragraphs and (not self.walls or self.walls[-1] < self.paragraphs[-1]):
+            self.close(self.paragraphs[-1])
+        mine, beyond = _SIBLINGS.get(name, ((), ()))
+        if any(self.count[x] for x in mine):
+            for i in range(len(self.names) - 1, 0, -1):
+                if self.names[i] in beyond:
+                    break
+                if self.names[i] in mine:
+                    self.close(i)
+                    if name in ("dt", "dd", "li"):
+                        break
 
-    def close(to: int) -> None:
-        del stack[to:], names[to:]
 
+def _skipped(html: str) -> dict[int, int]:
+    """For each element of _SKIP that is closed: where its tag begins, and where its end tag ends. An unclosed one is not there."""
+    found, open_ = {}, {}
+    for m in _SKIP_TAG.finditer(html):
+        name, held = m[2].lower(), open_.setdefault(m[2].lower(), [])
+        if not m[1]:
+            if not m[3].endswith("/"):
+                held.append(m.start())
+        elif held:
+            found[held.pop()] = m.end()
+    return found
+
+
+def parse(html: str) -> Page:
+    """The element tree of a page; its first node stands for the page."""
+    page, open_ = Page(), _Open()
+    at, size = 0, len(html)
+    ends = _skipped(html)
+    closers: dict[str, list[int]] = {}
     while at < size:
         lt = html.find("<", at)
-        if lt < 0:
-            lt = size
-        if lt > at and not skipping:
-            page.events.append((stack[-1], unescape(html[at:lt])))
+        lt = size if lt < 0 else lt
+        if lt > at:
+            page.events.append((open_.nodes[-1], unescape(html[at:lt])))
         if lt == size:
             break
         if html.startswith("<!--", lt):
             end = html.find("-->", lt + 4)
             at = end + 3 if end >= 0 else size
             continue
-        if html.startswith(("<!", "<?"), lt):
-            end = html.find(">", lt)
-            at = end + 1 if end >= 0 else size
-            continue
         m = _TAG.match(html, lt)
         if m is None:
-            if html[lt + 1 : lt + 2].isalpha() or html.startswith("</", lt):
+            if html.startswith("</>", lt):
+                at = lt + 3
+            elif _NAMED.match(html, lt):
                 break  # a tag that the page's end cuts off
-            if not skipping:
-                page.events.append((stack[-1], "<"))
-            at = lt + 1
+            elif html.startswith(("<!", "<?", "</"), lt):  # a comment of its own kind
+                end = html.find(">", lt)
+                at = end + 1 if end >= 0 else size
+            else:
+                page.events.append((open_.nodes[-1], "<"))
+                at = lt + 1
             continue
         at = m.end()
         name, closing = m[2].lower(), bool(m[1])
-        if skipping:
-            if name in _SKIP and not m[3].endswith("/"):
-                skipping += -1 if closing else 1
-            elif name == "body" and not closing:
-                skipping = 0
-            if not skipping or name not in _RAW or closing:
-                continue
+        if name in _SKIP:
+            at = ends.get(lt, at)  # never closed: only the tag
+            continue
         if name in _RAW and not closing:
-            lower = html.lower() if lower is None else lower
-            end = lower.find("</" + name, at) if len(lower) == size else _find_close(html, name, at)
-            if end < 0:
+            if name not in closers:
+                closers[name] = [x.start() for x in re.finditer(f"</{name}(?=[\\s/>])", html, re.I)]
+            i = bisect_left(closers[name], at)
+            if i < len(closers[name]):
+                end = html.find(">", closers[name][i])
+                at = end + 1 if end >= 0 else size
+            elif name in _CODE:
                 break
-            end = html.find(">", end)
-            at = end + 1 if end >= 0 else size
-            continue
-        if name in _SKIP:
-            skipping = 0 if closing or m[3].endswith("/") else 1
             continue
         if name == "br":
-            page.events.append((stack[-1], " "))
+            page.events.append((open_.nodes[-1], " "))
             continue
         block = name not in _INLINE
         if block:
             page.events.append((-1, ""))
         if closing:
-            for i in range(len(names) - 1, 0, -1):
-                if names[i] == name:
-                    close(i)
-                    break
-                if not block and names[i] not in _INLINE:
-                    break  # an inline end tag doesn't close blocks
+            open_.end(name, block)
             continue
-        if name in _CLOSES_P and "p" in names:
-            i = len(names) - 1 - names[::-1].index("p")
-            if not {"table", "td", "th", "button"} & set(names[i:]):
-                close(i)
-        if name in _SIBLINGS:
-            mine, beyond = _SIBLINGS[name]
-            for i in range(len(names) - 1, 0, -1):
-                if names[i] in beyond:
-                    break
-                if names[i] in mine:
-                    close(i)
-                    if name in ("dt", "dd", "li"):
-                        break
-        if name in ("html", "body"):
+        open_.before(name)
+        if name in ("html", "head", "body"):
             continue
-        kind = _KIND.get(name, _PLAIN)
-        bad = good = False
+        bad, good = name == "noscript", False  # a notice to readers without scripts, most often
         if m[3]:
             for x in _LABELS.findall(m[3]):
                 found = _WORDS.findall(_CAMEL.sub(" ", x).lower())
                 bad = bad or not _BAD.isdisjoint(found)
                 good = good or not _GOOD.isdisjoint(found)
-        page.parent.append(stack[-1])
-        page.kind.append(kind)
+        page.parent.append(open_.nodes[-1])
+        page.kind.append(_KIND.get(name, _PLAIN))
         page.bad.append(bad)
         page.good.append(good)
-        page.depth.append(len(stack))
+        page.depth.append(len(open_.nodes))
         if name not in _VOID and not m[3].endswith("/"):
-            stack.append(len(page.parent) - 1)
-            names.append(name)
+            open_.push(len(page.parent) - 1, name)
     return page
 
 
-def _find_close(html: str, name: str, at: int) -> int:
-    m = re.compile("</" + re.escape(name), re.I).search(html, at)
-    return m.start() if m else -1
-
-
 @dataclass
 class Forest:
     """Pages' nodes one after another: parents (-1 for roots), depth, features, and the kind of the edge to the parent."""

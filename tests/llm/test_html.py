@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -42,6 +43,17 @@ CASES = [
      "T\nBody text of it, quite long enough.\nLast."),
     ("<div class='cookie-notice'>We use cookies.</div><main><p>Kept, as it is the main text.</p></main><script>never closed", "Kept, as it is the main text."),
     ("<article><p>1 < 2 and <p>x</article><!-- never closed", "1 < 2 and\nx"),
+    ("<article><p>First of the two paragraphs.</><p>Second of the two paragraphs.</p></article>", "First of the two paragraphs.\nSecond of the two paragraphs."),
+    ("<article><p>Price <é and more of this text.</p></article>", "Price <é and more of this text."),
+    ("<article><p>One </ p> goes on here, as it should.</p></article>", "One goes on here, as it should."),
+    ("<div class=menu><svg><path d='x'></div><article><p>Kept, though a drawing is open.</p></article>", "Kept, though a drawing is open."),
+    ("<article><p>Start of the text,</p><select><option>a</select><template><p>no</p></template><p>and its end.</p></article>", "Start of the text,\nand its end."),
+    ("<article><p>Words before it,</p><object data=x><p>words behind it.</p></article><svg><text>no</text></svg>", "Words before it,\nwords behind it."),
+    ("<head><title>T</title><meta charset=x><article><h1>Title here</h1><p>The body of a page without an end of head.</p></article>",
+     "Title here\nThe body of a page without an end of head."),
+    ("<noscript>Please enable scripts.</noscript><article><p>An article below it, of some length.</p></article>", "An article below it, of some length."),
+    ("<article><p>Whole text, every word</p></article><scr", "Whole text, every word"),
+    ("<article><title>Open <p>Then some text follows it here.</p></article>", None),
 ]
 
 
@@ -56,6 +68,14 @@ def test_deep_nesting():
     assert H.texts_of([deep], *H.trained())[0] == "Words at the bottom, a few of them."
 
 
+def test_time_grows_with_the_page_only():
+    """Many stray end tags, unclosed skipped elements and items inside deep pages."""
+    deep = "<article>" + "<p><i>" * 20_000 + "</x></svg><svg><select><li>" * 20_000 + "<p>Words at the bottom, a few of them.</p>"
+    began = time.perf_counter()
+    assert len(H.parse(deep).parent) == 40_004
+    assert time.perf_counter() - began < 5
+
+
 def plain_article(page):
     body = re.search(r"<article>(.*)</article>", page, re.S)[1]
     blocks = re.split(r"</?(?:p|h1)>", body)
