@@ -48,8 +48,8 @@ def op5_langid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with their source as the host."""
-    found = linededup.dedup_lines(table(spark, sf, "documents"))
+    """Documents with their source as the host; a ratio of fewer than MIN_PAGES pages says nothing."""
+    found = linededup.dedup_lines(table(spark, sf, "documents"), min_pages=linededup.MIN_PAGES)
     return found.select("doc_id", "source", "n_lines", "n_dropped", "text")
 
 
@@ -69,7 +69,7 @@ def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents into 16 shards of nearly equal bytes."""
-    found = sharding.shard(table(spark, sf, "documents").select("doc_id", "text"))
+    found = sharding.shard(table(spark, sf, "documents").select("doc_id", "text"), carry=["doc_id"])
     return found.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -92,8 +92,8 @@ marked AS (SELECT c.*, trim(c.line) <> '' AS is_full, b.line IS NOT NULL AS is_b
 docs AS (SELECT doc_id, count(*) FILTER (is_full) AS n_lines, count(*) FILTER (is_bad) AS n_bad,
                 string_agg(line, chr(10) ORDER BY pos) FILTER (NOT is_bad) AS cut FROM marked GROUP BY doc_id)
 SELECT d.doc_id, d.source, coalesce(x.n_lines, 0) AS n_lines,
-       CASE WHEN x.n_bad IS NULL OR x.n_bad = x.n_lines THEN 0 ELSE x.n_bad END AS n_dropped,
-       CASE WHEN x.n_bad IS NULL OR x.n_bad = x.n_lines THEN d.text ELSE x.cut END AS text
+       coalesce(x.n_bad, 0) AS n_dropped,
+       CASE WHEN coalesce(x.n_bad, 0) = 0 THEN d.text ELSE coalesce(x.cut, '') END AS text
 FROM documents d LEFT JOIN docs x ON x.doc_id = d.doc_id
 """
 

@@ -1,6 +1,8 @@
 import zlib
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from loomgrain.llm.sharding import shard
 
 SCHEMA = "doc_id long, text string, size int, other string"
@@ -31,6 +33,22 @@ def test_laws_on_mixed_rows(spark):
     assert all(abs(sizes[i] - mean) <= 9001 + mean * 0.001 for i in range(16))
 
 
+def test_many_ranges_and_an_unstable_input(spark, monkeypatch):
+    """Ranges by array search; identical rows whose order changes from one reading to the next; a very long text."""
+    monkeypatch.setattr("loomgrain.llm.sharding.FINE_BYTES", 400)
+    rows = [(i % 900, "t" * (i % 13), 0, "") for i in range(3000)] + [(7, "hot", 1, None)] * 1500 + [(8, "w " * 300_000, 0, "")]
+    frame = spark.createDataFrame(rows, SCHEMA).orderBy(F.rand())
+    for tree in (256, 4):
+        monkeypatch.setattr("loomgrain.llm.sharding.TREE", tree)
+        out = shard(frame, carry=["doc_id"])
+        assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+        slots = {}
+        for r in out.collect():
+            slots.setdefault(r.shard, []).append(r.slot)
+        assert sum(map(len, slots.values())) == len(rows)
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_small_and_empty(spark):
     assert run(spark, []) == []
     out = run(spark, [(1, "a", 0, ""), (1, "a", 0, "")])
