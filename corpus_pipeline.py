@@ -6,12 +6,18 @@ the columns of documents. Each works on all rows its predecessor kept:
 1. language ID: documents whose language is rejected (no letter, or cross-entropy beyond
    the calibrated limit) go;
 2. line dedup: lines that a source repeats on more than the boilerplate ratio of its
-   documents are cut from the texts; every document stays (n_chars follows the text);
+   documents are cut from the texts (but a document all of whose lines are repeated is
+   left whole: its copies are the next stage's); every document stays (n_chars follows
+   the text);
 3. n-gram Jaccard join: of each class of near-duplicates the document with the least id
-   stays, as one row, however often ids occur (a row without an id can't name a class:
-   of those one row of each class stays beside the named one);
+   stays, as one row, however often ids occur; rows without an id come last, and one
+   stays only where no row of the class has an id;
 4. benchmark decontamination: documents that hold a benchmark passage go;
 5. BPE encoding and decoding: every document gets its token count and hashes.
+
+Defined cases: null and empty texts have no language and go in stage 1; texts of any
+length are whole in every stage; repeated rows of a class become one; columns beyond
+those of documents, whatever their names, are not carried; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = linededup.dedup_lines(docs.select(*COLUMNS))
+    cut = linededup.dedup_lines(docs.select(*COLUMNS), min_pages=linededup.MIN_PAGES, keep_whole=True)
     return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
@@ -45,10 +51,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rest = plain.join(gone, "doc_id", "left_anti")
     if repeated.isEmpty() and classes.filter("doc_id IS NULL").isEmpty():
         return rest.select(*COLUMNS)
-    # An id that stands once is its row's key. Elsewhere (id, digest) is: of a class's, the least stays, as its least row.
+    # An id that stands once is its row's key. Elsewhere (id, digest) is: of a class's, the least with an id stays, as its least row.
     odd = plain.filter("doc_id IS NULL").unionByName(plain.join(repeated, "doc_id", "left_semi").select(*COLUMNS))
     odd = written(jaccard.digested(odd), "odd")
-    least = classes.filter("label IS NOT NULL").groupBy("label", F.col("doc_id").isNull().alias("nameless")).agg(F.min(F.struct("doc_id", "digest")).alias("m"))
+    least = classes.filter("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")).alias("m"))
     stay = least.select(F.col("m.doc_id").alias("_id"), F.col("m.digest").alias("_d"))
     kept = odd.join(stay, odd["doc_id"].eqNullSafe(stay["_id"]) & (odd["_digest"] == stay["_d"]), "left_semi")
     # Texts without words have no class: equal (id, text) rows become one.

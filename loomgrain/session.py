@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +29,24 @@ def session(app: str = "loomgrain", master: str | None = None, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or one set here where it is unset (tests)."""
+    """The folder every executor can reach: spark.checkpoint.dir.
+
+    Where it is unset, a local master gets a folder of this process, removed at its end;
+    on a cluster that is an error, as no machine's own folder is shared.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known
-    return "/tmp/checkpoints/loomgrain"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir()
+
+
+@functools.lru_cache(maxsize=1)
+def _own_dir() -> str:
+    path = tempfile.mkdtemp(prefix="loomgrain-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
