@@ -1,9 +1,16 @@
+import itertools
 import random
+import re
+import string
+import time
 
 import numpy as np
+import pyarrow as pa
 
 from loomgrain.llm import decontaminate as D
 
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
 
 def brute_stretch(equal):
     best = (0, 0)
@@ -21,6 +28,78 @@ def test_stretch_by_brute_force():
         assert D.stretch(equal) == brute_stretch(equal.tolist()), equal
 
 
+def test_stretches_are_the_same_for_many_rows():
+    r = np.random.default_rng(5)
+    equal = np.concatenate([r.random((200, 23)) < p for p in (0.2, 0.6, 0.8, 0.95)])
+    a, b = D.stretches(equal)
+    assert list(zip(a.tolist(), b.tolist())) == [D.stretch(e) for e in equal]
+
+
+def test_masks_leave_no_placement_out():
+    """Every way to replace a fifth of 9 to 25 words leaves a window of some mask whole."""
+    for n in range(9, 26):
+        inner = range(1, n - 1) if n < D.RUN else range(n)  # a shorter item's stretch begins and ends with equal words
+        used = np.array(list(itertools.combinations(inner, n // 5)))
+        free = np.ones((len(used), n), bool)
+        free[np.arange(len(used))[:, None], used] = False
+        hit = np.zeros(len(used), bool)
+        for mask in D.MASKS:
+            on = [i for i, c in enumerate(mask) if c == "1"]
+            for s in range(n - len(mask) + 1):
+                hit |= free[:, [s + i for i in on]].all(axis=1)
+        assert hit.all(), n
+
+
+def brute_leaks(docs, items):
+    split = lambda t: [w for w in re.split("[^0-9a-z\x80-\U0010ffff]+", (t or "").translate(LOWER)) if w]
+    out = {}
+    for d, text in docs:
+        own, found = split(text), []
+        for i, item in items:
+            w, best = split(item), None
+            for start in range(-len(w) + 1, len(own)):
+                low, high = max(start, 0), min(start + len(w), len(own))
+                a, b = brute_stretch([own[x] == w[x - start] for x in range(low, high)])
+                equal = sum(own[low + x] == w[low + x - start] for x in range(a, b))
+                if len(w) >= D.LEAST and b - a >= min(D.RUN, len(w)) and (len(w) >= D.SPAN or equal == len(w)):
+                    if best is None or (equal, b - a, -low - a) > (best[2], best[1], -best[0]):
+                        best = (low + a, b - a, equal)
+            if best:
+                found.append((i, *best))
+        out[d] = found
+    return out
+
+
+def test_same_as_brute_force(spark, monkeypatch):
+    """Texts of few different words, with passages of every length altered up to the limit; repeated rows, ties, odd items."""
+    r = random.Random(8)
+    items = [(i, " ".join(r.choice(["a", "b", "c", f"x{i}", f"y{r.randint(0, 9)}"]) for _ in range(n))) for i, n in enumerate([6, 8, 9, 10, 12, 13, 15, 20, 26, 30])]
+    items += [(20, items[5][1]), (21, "a " * 14), (22, None), (23, "a b"), (24, "a " * 10 + "b " * 10)]
+    docs = []
+    for d in range(60):
+        w = items[r.randrange(len(items[:10]))][1].split()
+        for _ in range(r.randint(0, len(w) // 5)):
+            w[r.randrange(len(w))] = "z"
+        body = [r.choice(["a", "b", "c", "dd"]) for _ in range(r.randint(0, 30))]
+        docs.append((d, " ".join(body[:9] + w + body[9:])))
+    docs += [(70, "A a " * 20), (71, "a " * 30 + "b"), (72, None), (73, "")]
+    want = brute_leaks(docs, items)
+    for hits, cells in ((D.HITS, D.CELLS), (7, 100)):
+        monkeypatch.setattr(D, "HITS", hits)
+        monkeypatch.setattr(D, "CELLS", cells)
+        got = run(spark, docs + docs[:3], items)
+        assert {d: [(x.item_id, x.start, x.n_words, x.n_equal) for x in v] for d, v in got.items()} == want
+
+
+def test_very_repetitive_texts():
+    """Time and memory follow the text where every place is a hit."""
+    ix = D.index([1, 2], ["the " * 60, "the " * 30 + "end " * 30])
+    own, at = D.words(pa.array(["the " * 50_000]), D.ALNUM)
+    began = time.perf_counter()
+    assert D.leaks(own, at, ix) == [[(0, 0, 60, 60), (1, 0, 30, 30)]]
+    assert time.perf_counter() - began < 10
+
+
 def made(seed=1):
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefghiklmnoprstuü") for _ in range(r.randint(2, 7)))
