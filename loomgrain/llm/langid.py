@@ -11,11 +11,13 @@ probabilities (one for each language) beside each hash, and sorted arrays of con
 with their interpolation weights. A text's cross-entropy is the mean over its characters;
 the language with the lowest wins. A piece's distinct words are scored once and weighted.
 
-Fit: a sample of labelled rows bounded by SAMPLE (documents of each language, in the
-mean; at most twice that times the languages in all) is counted on the executors; the
-tables are built on the driver from the sample's distinct words. Rejection: part of the
-sample is left out of the counts, and a text is rejected if its cross-entropy is above
-its language's mean there by more than REJECT standard deviations, or if it has no letter.
+Fit: of each language at most SAMPLE different texts are drawn by their hash, however
+often each occurs, and of these as many as begin within SAMPLE_CHARS characters. The
+sample is written once, so every use of it sees the same rows. Its words are counted on
+the executors; the tables are built on the driver from the distinct words, which the two
+parameters bound. Rejection: every fifth text of the sample is left out of the counts and
+scored on the executors, and a text is rejected if its cross-entropy is above its
+language's mean there by more than REJECT standard deviations, or if it has no letter.
 
 Defined cases: null text, or one without a letter, is `und` with score 0 and rejected; a
 tie goes to the first language in alphabetical order; a null label is not learned from;
@@ -32,13 +34,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.llm.batches import arrow_map, mix, pieces, span_hashes
+from loomgrain.session import written
 
 ORDER = 5
 SAMPLE = 500
+SAMPLE_CHARS = 3_000_000
+OVER = 1.5  # drawn before the exact cut, as counts of different texts are estimates
+FEW_LABELS = 10_000
 REJECT = 8.0
 UNKNOWN = "und"
 _EDGE = 0  # the code of a word boundary
@@ -206,20 +212,40 @@ def _counted(text: str, label: str):
     return run
 
 
-def train(rows: DataFrame, label: str = "lang", text: str = "text", sample: int = SAMPLE) -> Models | None:
-    """Fit on labelled rows; about sample rows of each language, 4 of 5 for counts and the rest for rejection."""
+def _judged(label: str, text: str, held):
+    """(label, bits) of texts that are long enough, under their own language's model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        number = {x: i for i, x in enumerate(m.languages)}
+        for batch in batches:
+            for piece in pieces(batch, text):
+                bits, size = m.entropy(_text_of(piece, text))
+                found = [(x, float(b[number[x]])) for x, b, n in zip(piece.column(label).to_pylist(), bits, size, strict=True) if n >= 20 and x in number]
+                yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["label", "bits"])
+
+    return run
+
+
+def drawn(rows: DataFrame, sample: int, chars: int) -> DataFrame:
+    """label, text and nth (from 1) of the sample of each label's different texts."""
+    hashed = rows.withColumn("h", F.xxhash64("text", F.lit(17)))
+    sizes = written(hashed.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("n")), "label-sizes")
+    few = sizes.count() <= FEW_LABELS
+    u = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
+    some = hashed.join(F.broadcast(sizes) if few else sizes, "label").filter(u * F.col("n") < OVER * sample).drop("n")
+    order = Window.partitionBy("label").orderBy(F.pmod(F.col("h"), F.lit(1 << 30)), "h")
+    before = F.coalesce(F.sum(F.length("text").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = some.dropDuplicates(["label", "h"]).withColumns({"nth": F.row_number().over(order), "before": before})
+    return ranked.filter((F.col("nth") <= sample) & (F.col("before") < chars)).select("label", "text", "nth")
+
+
+def train(rows: DataFrame, label: str = "lang", text: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Models | None:
+    """Fit on at most sample different texts of each label, about chars characters of them; four of five for counts and the rest for rejection."""
     rows = rows.select(F.col(label).alias("label"), F.col(text).alias("text")).filter("label IS NOT NULL AND text IS NOT NULL")
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
-    share = F.lit(0.0)
-    for name, n in sorted(sizes.items()):
-        share = F.when(F.col("label") == name, F.lit(min(1.0, sample / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.withColumn("u", draw / share).filter("u < 1").limit(2 * sample * len(sizes))
-    parts = picked.withColumn("use", F.col("u") < 0.8).drop("u")
+    picked = written(drawn(rows, sample, chars), "language-sample")
     counts = (
-        arrow_map(parts.filter("use").drop("use"), _counted("text", "label"), "label string, word string, n long")
+        arrow_map(picked.filter("nth % 5 <> 0").select("label", "text"), _counted("text", "label"), "label string, word string, n long")
         .groupBy("label", "word").agg(F.sum("n").alias("n")).toArrow()
     )
     words = list(zip(*(counts.column(c).to_pylist() for c in ("label", "word", "n")), strict=True))
@@ -227,14 +253,12 @@ def train(rows: DataFrame, label: str = "lang", text: str = "text", sample: int
         return None
     models = fit(sorted(words))
     models.limit = np.full(len(models.languages), np.inf)
-    held = {name: [] for name in models.languages}
-    for r in parts.filter(~F.col("use")).select("label", "text").toLocalIterator():
-        bits, size = models.entropy([r["text"]])
-        if size[0] >= 20 and r["label"] in held:
-            held[r["label"]].append(bits[0, models.languages.index(r["label"])])
-    for i, name in enumerate(models.languages):
-        if len(held[name]) >= 5:
-            models.limit[i] = np.mean(held[name]) + REJECT * max(np.std(held[name]), 0.1)
+    held = rows.sparkSession.sparkContext.broadcast(models)
+    judged = arrow_map(picked.filter("nth % 5 = 0").select("label", "text"), _judged("label", "text", held), "label string, bits double")
+    found = judged.groupBy("label").agg(F.count("*").alias("n"), F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("spread")).collect()
+    for r in found:  # at most one row a language
+        if r.n >= 5:
+            models.limit[models.languages.index(r.label)] = r["mean"] + REJECT * max(r.spread, 0.1)
     return models
 
 
