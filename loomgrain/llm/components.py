@@ -1,7 +1,8 @@
 """Connected components over links, in DataFrame form, without collecting them anywhere.
 
 Each turn first contracts the links that share a partition by union-find (a task sees its
-own links only), then hooks every label to the least label beside it, follows one more
+own links only, a label's links are dealt over several tasks, and a task's memory is
+bounded by MOST labels at a time), then hooks every label to the least label beside it, follows one more
 step, and renames the ends of the remaining links. Turns end when no link has two ends.
 """
 
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from loomgrain.session import written
 
+MOST = 500_000
+SALTS = 16
+
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of a partition as links to the least label of each local component."""
@@ -25,16 +29,22 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root[x] = x = root[up]
         return x
 
+    def stars() -> Iterator[pa.RecordBatch]:
+        pairs = [(find(x), x) for x in list(root)]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        root.clear()
+        for i in range(0, len(pairs), 20_000):
+            part = pairs[i : i + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.string()), pa.array([p[1] for p in part], pa.string())], ["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
-    pairs = [(find(x), x) for x in list(root)]
-    pairs = [p for p in pairs if p[0] != p[1]]
-    for i in range(0, len(pairs), 20_000):
-        part = pairs[i : i + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.string()), pa.array([p[1] for p in part], pa.string())], ["a", "b"])
+        if len(root) > MOST:  # what is known so far leaves as links; the next turn meets them again
+            yield from stars()
+    yield from stars()
 
 
 def merge(labels: DataFrame, links: DataFrame, most_turns: int = 100) -> DataFrame:
@@ -43,7 +53,7 @@ def merge(labels: DataFrame, links: DataFrame, most_turns: int = 100) -> DataFra
     named = links.join(to.withColumnsRenamed({"id": "a", "label": "la"}), "a").join(to.withColumnsRenamed({"id": "b", "label": "lb"}), "b")
     edges = named.filter("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
     for _ in range(most_turns):
-        edges = written(edges.repartition("a").mapInArrow(_contract, "a string, b string"), "links")
+        edges = written(edges.repartition("a", F.pmod(F.xxhash64("b"), F.lit(SALTS))).mapInArrow(_contract, "a string, b string"), "links")
         if edges.isEmpty():
             return labels
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

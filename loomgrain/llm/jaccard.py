@@ -5,9 +5,11 @@ Jaccard similarity reaches the threshold; the result is each document's class un
 
 1. Equal sets are collapsed: a set's 128-bit digest stands for all documents that have it.
 2. Shingles are ordered by document frequency, exactly, over one document of each
-   digest. Entries (48-bit token, document) are packed into 64-bit integers, exchanged in
-   blobs by token range, and sorted there. Tokens that occur once need no further work;
-   the others go back to their documents, again in blobs.
+   digest. Documents are numbered within groups of a few MB. Entries (48-bit token,
+   number) are packed into 64-bit integers, exchanged in blobs by token range, and sorted
+   there; a blob names its groups, and each group's list of documents travels once, on
+   its own. Tokens that occur once need no further work; the others go back to where
+   their group's list is, again in blobs. An exchange into many parts goes by two steps.
 3. With t the threshold, a set of n needs only its first n - ceil(t n) + 1 tokens as
    prefix: linked sets share a prefix token. A document whose prefix holds only tokens
    that occur once has no links; it is settled and leaves. On real text most do.
@@ -31,6 +33,9 @@ different sets is compared with itself in blocks, all sets with all, and equal s
 by their number.
 
 Overlap is counted over the tokens that occur more than once; no other can be shared.
+Tokens have 48 bits: two different shingles of a candidate pair with n and m shingles are
+taken for one with a chance of about n m / 2**48 (one pair in 28 million at 3,000 each),
+and that matters only within a shingle of the threshold.
 
 Defined cases: null text and text without words have an empty set, n_shingles 0, and
 link with nothing; a text of fewer than 5 words is one shingle; equal sets always link;
@@ -45,12 +50,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgrain.llm import components
-from loomgrain.llm.batches import NOT_SPACE, arrow_map, pieces, shingles, words
+from loomgrain.llm.batches import NOT_SPACE, arrow_map, mix, pieces, shingles, words
 from loomgrain.session import written
 
 WORDS = 5
@@ -58,6 +65,8 @@ THRESHOLD = 75  # per cent
 GROUP_BYTES = 4 << 20  # text of documents whose entries share blobs
 RANGE = 1_500_000  # entries that a token range or a document bucket should hold
 FAN = 256  # parts that one exchange makes of a blob
+MOST_TASKS = 50_000
+HOT_CLASS = 2_000  # digests of more than one row in so many are joined by broadcast
 HOT_LEAST = 1_000  # and in at least so many
 HOT_SHARE = 16  # a token in more than 1/16 of all documents is hot
 COPIES = 2_000_000  # ids of collapsed documents that may be broadcast
@@ -65,7 +74,8 @@ SLOTS = (2, 8, 16, 32)  # by round: about so many random members of a token list
 BLOCK_SETS = 1_024  # sets of a class that one side of a cell holds
 BLOCK_TOKENS = 1_500_000  # and their tokens
 COLUMNS = 2_048  # tokens compared at once
-_ENTRY = np.dtype([("token", "<u8"), ("df", "<u4"), ("doc", "<u4")])
+_ENTRY = np.dtype([("packed", "<u8"), ("df", "<u4")])
+_RUN = np.dtype([("gid", "<u8"), ("n", "<u4")])  # entries of a group that follow one another
 _DOC = np.dtype([("digest", "S16"), ("n", "<u4")])
 _LOW = np.uint64(0xFFFF)
 _HOT_DF = 0xFFFFFFFF
@@ -135,130 +145,125 @@ def _measured(key: str, text: str):
     return run
 
 
-def _blobs(route: list[int], entries: list[bytes], docs: list[bytes], level: int) -> pa.RecordBatch:
-    arrays = [pa.array(route, pa.int64()), pa.array(entries, pa.binary()), pa.array(docs, pa.binary()), pa.array([level] * len(route), pa.int32())]
-    return pa.RecordBatch.from_arrays(arrays, ["route", "entries", "docs", "level"])
+def _blobs(rows: list[tuple[int, np.ndarray, np.ndarray, bytes | None]]) -> pa.RecordBatch:
+    """Rows (route, runs, entries, a group's documents or None)."""
+    raw = lambda x: x if x is None or isinstance(x, bytes) else x.tobytes()
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(map(raw, c)) if k == pa.binary() else list(c), k) for c, k in zip(columns, kinds, strict=True)], ["route", "groups", "entries", "docs"])
 
 
-_BLOB = "route long, entries binary, docs binary, level int"
+_BLOB = "route long, groups binary, entries binary, docs binary"
 
 
 def _ranges(tokens: np.ndarray, parts: int) -> np.ndarray:
     """Which of parts equal ranges each 48-bit token falls in."""
-    return ((tokens >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
+    return (((tokens >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
-def _packed(text: str, parts: int, held):
-    """Blobs of (token, document) by token range; hot tokens' entries go as they are, under negative routes."""
+def _buckets(gid: np.ndarray, parts: int) -> np.ndarray:
+    """Which of parts buckets each group's documents are in."""
+    return (((mix(gid) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def _by_route(part: np.ndarray, gid: np.ndarray, entries: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray, None]]:
+    """One row for each part, its entries in runs of their groups."""
+    order = np.lexsort((gid, part))
+    part, gid, entries = part[order], gid[order], entries[order]
+    out = []
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        if b > a:
+            at = np.concatenate([[0], np.flatnonzero(np.diff(gid[a:b])) + 1])
+            runs = np.zeros(len(at), _RUN)
+            runs["gid"], runs["n"] = gid[a:b][at], np.diff(np.append(at, b - a))
+            out.append((int(part[a]), runs, entries[a:b], None))
+    return out
+
+
+def _packed(text: str, parts: int, ranges: int, held):
+    """Blobs of (token, document) by token range; each group's documents, with their hot tokens, under a negative route."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = held.value
-        for group in _gathered(batches, text):
+        hot, task = held.value, TaskContext.get()
+        first = (task.partitionId() if task else 0) << 24  # the groups of a task follow its rows' order
+        for number, group in enumerate(_gathered(batches, text)):
             own = [s for _, sets in group for s in sets if len(s)]
             if not own:
                 continue
+            gid = np.uint64(first + number)
             docs = np.array([(digest(s), len(s)) for s in own], _DOC)
             lens = [len(s) for s in own]
             token = _tokens(np.concatenate(own))
-            doc = np.repeat(np.arange(len(own), dtype=np.uint64), lens)
+            packed = (token << np.uint64(16)) | np.repeat(np.arange(len(own), dtype=np.uint64), lens)
+            found = np.zeros(0, _ENTRY)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, token), len(hot) - 1)
                 is_hot = hot[at] == token
-                if is_hot.any():
-                    entry = np.zeros(int(is_hot.sum()), _ENTRY)
-                    entry["token"], entry["df"], entry["doc"] = token[is_hot], _HOT_DF, doc[is_hot]
-                    route = -1 - int.from_bytes(docs["digest"][0].ljust(16, b"\0")[:4], "big") % FAN
-                    yield _blobs([route], [entry.tobytes()], [docs.tobytes()], 0)
-                    token, doc = token[~is_hot], doc[~is_hot]
-            packed = np.sort((token << np.uint64(16)) | doc)
-            part = _ranges(packed >> np.uint64(16), parts)
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-            some = [(int(part[a]), packed[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
-            yield _blobs([r for r, _ in some], [p.tobytes() for _, p in some], [docs.tobytes()] * len(some), 0)
+                found = np.zeros(int(is_hot.sum()), _ENTRY)
+                found["packed"], found["df"] = packed[is_hot], _HOT_DF
+                packed = packed[~is_hot]
+            route = -1 - int(_buckets(np.array([gid]), parts)[0])
+            yield _blobs([(route, np.array([(gid, len(found))], _RUN), found, docs.tobytes())])
+            packed = np.sort(packed)
+            yield _blobs(_by_route(_ranges(packed >> np.uint64(16), ranges), np.full(len(packed), gid), packed))
 
     return run
 
 
-def _regrouped(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """All blobs' documents, the blobs' entry bytes, and where each blob's documents begin."""
-    docs = [np.frombuffer(d, _DOC) for d in table.column("docs").to_pylist()]
-    begin = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.uint32)
-    return np.concatenate(docs) if docs else np.zeros(0, _DOC), table.column("entries").to_pylist(), begin
+def _opened(table: pa.Table, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a table's blobs and each one's group."""
+    runs = np.frombuffer(b"".join(table.column("groups").to_pylist()), _RUN)
+    return np.repeat(runs["gid"], runs["n"]), np.frombuffer(b"".join(table.column("entries").to_pylist()), kind)
 
 
-def _routed(entry: np.ndarray, docs: np.ndarray, part: np.ndarray, base: int, level: int) -> pa.RecordBatch:
-    """Blobs of entries by part, each with the documents it mentions."""
-    order = np.argsort(part, kind="stable")
-    entry, part = entry[order], part[order]
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]) if len(part) else np.zeros(1, int)
-    route, blobs, lists = [], [], []
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        own, place = np.unique(entry["doc"][a:b], return_inverse=True)
-        piece = entry[a:b].copy()
-        piece["doc"] = place
-        route.append(base + int(part[a]))
-        blobs.append(piece.tobytes())
-        lists.append(docs[own].tobytes())
-    return _blobs(route, blobs, lists, level)
-
-
-def _head(digests: np.ndarray) -> np.ndarray:
-    """The first 32 bits of each digest."""
-    raw = np.frombuffer(digests.astype("S16").tobytes(), np.uint8).reshape(-1, 16)[:, :4]
-    return raw.astype(np.uint64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1], np.uint64)
+def _rerouted(table: pa.Table, buckets: int) -> pa.Table:
+    """Rows of groups' documents, routed to the groups' buckets."""
+    gids = np.array([np.frombuffer(g, _RUN)["gid"][0] for g in table.column("groups").to_pylist()], np.uint64)
+    return table.set_column(0, "route", pa.array(_buckets(gids, buckets), pa.int64()))
 
 
 def _counted(buckets: int):
-    """Of one token range: the entries of tokens that occur more than once, by document bucket."""
+    """Of one token range: the entries of tokens that occur more than once, by their group's bucket."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, blobs, begin = _regrouped(table)
         if table.column("route")[0].as_py() < 0:
-            entry = np.concatenate([np.frombuffer(b, _ENTRY) for b in blobs])
-            entry["doc"] += np.repeat(begin[:-1], [len(b) // _ENTRY.itemsize for b in blobs])
-        else:
-            packed = [np.frombuffer(b, np.uint64) for b in blobs]
-            doc = np.concatenate([(p & _LOW).astype(np.uint32) + b for p, b in zip(packed, begin[:-1], strict=True)])
-            token = np.concatenate(packed) >> np.uint64(16)
-            order = np.argsort(token, kind="stable")
-            token, doc = token[order], doc[order]
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
-            count = np.diff(edge)
-            df = np.repeat(count, count)
-            again = df > 1
-            entry = np.zeros(int(again.sum()), _ENTRY)
-            entry["token"], entry["df"], entry["doc"] = token[again], df[again], doc[again]
-        part = (_head(docs["digest"])[entry["doc"]] * np.uint64(buckets)) >> np.uint64(32) if len(entry) else np.zeros(0, np.uint64)
-        return pa.Table.from_batches([_routed(entry, docs, part, 0, 1)])
+            return _rerouted(table, buckets)
+        gid, packed = _opened(table, np.uint64)
+        order = np.argsort(packed >> np.uint64(16), kind="stable")
+        gid, packed = gid[order], packed[order]
+        token = packed >> np.uint64(16)
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
+        df = np.repeat(np.diff(edge), np.diff(edge))
+        again = df > 1
+        entry = np.zeros(int(again.sum()), _ENTRY)
+        entry["packed"], entry["df"] = packed[again], df[again]
+        return pa.Table.from_batches([_blobs(_by_route(_buckets(gid[again], buckets), gid[again], entry))])
 
     return run
 
 
 def _prefixed(threshold: int):
-    """Of one document bucket: the documents that have a shared token in their prefix, with what verification needs."""
+    """Of one bucket: the documents that have a shared token in their prefix, with what verification needs."""
 
     def run(table: pa.Table) -> pa.Table:
-        docs, blobs, begin = _regrouped(table)
-        entry = np.concatenate([np.frombuffer(b, _ENTRY) for b in blobs])
-        doc = entry["doc"] + np.repeat(begin[:-1], [len(b) // _ENTRY.itemsize for b in blobs])
-        names, number = np.unique(docs["digest"], return_inverse=True)
-        size = np.zeros(len(names), np.int64)
-        size[number] = docs["n"]
-        doc = number[doc] if len(doc) else doc.astype(np.int64)
-        order = np.lexsort((entry["token"], entry["df"], doc))
-        token, df, doc = entry["token"][order], entry["df"][order], doc[order]
-        fresh = np.ones(len(token), bool)  # a document that stood in the input twice has each entry twice
-        fresh[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
-        token, doc = token[fresh], doc[fresh]
-        edge = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
         out = {"id": [], "n": [], "tokens": [], "prefix": [], "first": []}
+        lists = sorted((int(np.frombuffer(g, _RUN)["gid"][0]), d) for g, d in zip(table.column("groups").to_pylist(), table.column("docs").to_pylist(), strict=True) if d is not None)
+        docs = np.frombuffer(b"".join(d for _, d in lists), _DOC)
+        begin = np.cumsum([0, *(len(d) // _DOC.itemsize for _, d in lists)])
+        gid, entry = _opened(table, _ENTRY)
+        doc = begin[np.searchsorted(np.array([g for g, _ in lists], np.uint64), gid)] + (entry["packed"] & _LOW).astype(np.int64)
+        token = entry["packed"] >> np.uint64(16)
+        order = np.lexsort((token, entry["df"], doc))
+        token, doc = token[order], doc[order]
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1, [len(doc)]])
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             if b > a:
-                n = int(size[doc[a]])
+                n = int(docs["n"][doc[a]])
                 single = n - (b - a)
                 reach = n - -(-threshold * n // 100) + 1 - single
                 if reach > 0:
-                    out["id"].append(names[doc[a]].ljust(16, b"\0").hex())
+                    out["id"].append(docs["digest"][doc[a]].ljust(16, b"\0").hex())
                     out["n"].append(n)
                     out["tokens"].append(np.sort(token[a:b]).astype(np.int64))
                     out["prefix"].append(token[a : a + reach].astype(np.int64))
@@ -270,25 +275,39 @@ def _prefixed(threshold: int):
     return run
 
 
-def _split_again(route_of, parts: int, dtype: np.dtype):
-    """Cuts blobs of coarse routes into finer ones, for inputs that need more than FAN parts."""
+def _split_again(parts: int, back: bool):
+    """Deals blobs of one coarse route to finer ones, for inputs that need more than FAN parts."""
 
     def run(table: pa.Table) -> pa.Table:
-        level = table.column("level")[0].as_py()
-        docs, blobs, begin = _regrouped(table)
-        out = []
-        for blob, a, b in zip(blobs, begin[:-1], begin[1:], strict=True):
-            entry = np.frombuffer(blob, dtype)
-            part = route_of(entry, docs[a:b], parts)
-            cut = np.argsort(part, kind="stable")
-            edges = np.concatenate([[0], np.flatnonzero(np.diff(part[cut])) + 1, [len(cut)]])
-            some = [cut[x:y] for x, y in zip(edges[:-1], edges[1:], strict=True) if y > x]
-            out.append(_blobs([int(part[s[0]]) for s in some], [entry[s].tobytes() for s in some], [docs[a:b].tobytes()] * len(some), level))
-        return pa.Table.from_batches(out)
+        table = table.select(["route", "groups", "entries", "docs"])
+        if table.column("route")[0].as_py() < 0:
+            return table
+        lists = table.filter(pc.is_valid(table.column("docs")))
+        blobs = table.filter(pc.is_null(table.column("docs")))
+        gid, entry = _opened(blobs, _ENTRY if back else np.uint64)
+        part = _buckets(gid, parts) if back else _ranges(entry >> np.uint64(16), parts)
+        return pa.concat_tables([pa.Table.from_batches([_blobs(_by_route(part, gid, entry))]), _rerouted(lists, parts)])
 
     return run
 
 
+def _exchange(blobs: DataFrame, parts: int, entries: int, back: bool) -> DataFrame:
+    """Blobs routed to parts; they come routed to at most FAN and are split again while that is fewer."""
+    now = min(parts, FAN)
+    while now < parts:
+        salts = max(1, -(-entries // (now * RANGE)))
+        salted = blobs.withColumn("salt", F.pmod(F.xxhash64("groups"), F.lit(salts)))
+        now = min(parts, now * FAN)
+        blobs = _wide(salted, parts, "route", "salt").groupBy("route", "salt").applyInArrow(_split_again(now, back), _BLOB)
+    return _wide(blobs, parts, "route")
+
+
+def _wide(rows: DataFrame, parts: int, *by: str) -> DataFrame:
+    """rows with a task for each part where the session's number of shuffle partitions is smaller."""
+    most = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(min(parts, MOST_TASKS), *by) if parts > most else rows
+
+
 def _similar(a: Column, b: Column, na: Column, nb: Column, threshold: int) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return 100 * shared >= threshold * (na + nb - shared)
@@ -373,27 +392,6 @@ def _mixed(postings: DataFrame, labels: DataFrame) -> DataFrame:
     return kept.withColumn("major", F.col("label") == F.col("top")).drop("kinds", "top")
 
 
-def _exchange(blobs: DataFrame, parts: int, dtype: np.dtype, route_of) -> DataFrame:
-    """Blobs routed to parts; they come routed to at most FAN and are split again while that is fewer."""
-    now = min(parts, FAN)
-    while now < parts:
-        now = min(parts, now * FAN)
-        salt = F.pmod(F.xxhash64("docs"), F.lit(FAN))
-        fixed = blobs.filter("route < 0")
-        blobs = fixed.unionByName(
-            blobs.filter("route >= 0").withColumn("salt", salt).groupBy("route", "salt").applyInArrow(_split_again(route_of, now, dtype), _BLOB)
-        )
-    return blobs
-
-
-def _token_route(entry: np.ndarray, docs: np.ndarray, parts: int) -> np.ndarray:
-    return _ranges(entry >> np.uint64(16), parts).astype(np.int64)
-
-
-def _doc_route(entry: np.ndarray, docs: np.ndarray, parts: int) -> np.ndarray:
-    return ((_head(docs["digest"])[entry["doc"]] * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-
-
 def digested(rows: DataFrame, text: str = "text") -> DataFrame:
     """rows with _digest, the digest of the text's set (null where that is empty)."""
     kind = T.StructType([*rows.schema.fields, T.StructField("_digest", T.StringType())])
@@ -502,15 +500,17 @@ def classified(rows: DataFrame, key: str = "doc_id", text: str = "text", thresho
         copies = sets.join(classes.filter("size > 1").select("digest", "rep"), "digest").filter("id > rep").select("id").distinct()
         copies = written(copies.join(classes.select(F.col("rep").alias("id")), "id", "left_anti"), "copies")
         single = slim.join(F.broadcast(copies), "id", "left_anti")
-    else:
-        single = slim.filter("id IS NULL").unionByName(slim.join(reps, "id", "left_semi"))
+    else:  # sorted, as groups must come out alike when a task runs again
+        single = slim.filter("id IS NULL").unionByName(slim.join(reps, "id", "left_semi")).sortWithinPartitions("id", "text")
     parts, buckets = max(1, -(-total // RANGE)), max(1, -(-total // (4 * RANGE)))
-    blobs = arrow_map(single, _packed("text", min(parts, FAN), held), _BLOB)
-    blobs = _exchange(blobs, parts, np.dtype("<u8"), _token_route)
+    blobs = arrow_map(single, _packed("text", parts, min(parts, FAN), held), _BLOB)
+    blobs = _exchange(blobs, parts, total, back=False)
     shared = blobs.groupBy("route").applyInArrow(_counted(min(buckets, FAN)), _BLOB)
-    shared = _exchange(shared, buckets, _ENTRY, _doc_route)
+    shared = _exchange(shared, buckets, total, back=True)
     docs = shared.groupBy("route").applyInArrow(_prefixed(threshold), "id string, n long, tokens array<long>, prefix array<long>, first long")
     docs = written(docs, "candidates")
+    if not docs.groupBy("id").count().filter("count > 1").isEmpty():  # an id on several rows kept several rows of a set
+        docs = written(docs.dropDuplicates(["id"]), "candidates")
     labels = linked_classes(docs, threshold)
     named = labels.join(classes, labels["id"] == classes["digest"]).select("digest", "label", "rep")
     least = named.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("k")).filter("k > 1")
@@ -522,7 +522,13 @@ def classified(rows: DataFrame, key: str = "doc_id", text: str = "text", thresho
         counts = written(counts, "links").withColumnRenamed("id", "digest")
         final = final.join(counts, "digest", "left")
         more = [F.coalesce(F.col("size") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links")]
-    out = sets.join(final, "digest", "left")
+    final = written(final, "final")
+    # A set that very many rows have would fill one task of the join: at most HOT_CLASS such sets go by broadcast.
+    is_hot = F.col("size") > max(64, rows_in // HOT_CLASS)
+    hottest, rest = F.broadcast(final.filter(is_hot)), final.filter(~is_hot)
+    empty = sets.filter("digest IS NULL")
+    common = sets.filter("digest IS NOT NULL").join(hottest.select("digest"), "digest", "left_anti").join(rest, "digest", "left")
+    out = sets.join(hottest, "digest").unionByName(common).unionByName(empty, allowMissingColumns=True)
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), "digest", "label", *more)
 
 

@@ -3,6 +3,10 @@ import re
 import string
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from loomgrain.llm import jaccard as J
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -75,6 +79,41 @@ def test_small_parts_hot_tokens_and_splitting(spark, monkeypatch):
     assert ours(spark, rows) == want
 
 
+def test_bytes_of_the_exchange_at_scale():
+    """A group's blobs stay below three bytes a byte of text, however many parts an exchange makes (30 GB and 600 GB of text)."""
+    r = random.Random(2)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(300)) for _ in range(2100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+    size = sum(map(len, texts))
+    weigh = lambda table: sum(pc.sum(pc.fill_null(pc.binary_length(table.column(c)), 0)).as_py() for c in ("groups", "entries", "docs")) + 24 * table.num_rows
+    held = type("Held", (), {"value": np.zeros(0, np.uint64)})
+    for parts in (8, 3333, 65536):
+        blobs = pa.Table.from_batches(list(J._packed("text", parts, min(parts, J.FAN), held)(iter([batch]))))
+        assert weigh(blobs) < 3 * size
+        route = np.asarray(blobs.column("route"))
+        if parts > J.FAN:
+            finer = [J._split_again(parts, False)(blobs.filter(pa.array(route == x))) for x in range(0, J.FAN, 16)]
+            assert sum(map(weigh, finer)) * 16 < 3 * size
+            assert sum(J._opened(t, np.uint64)[1].size for t in finer) == sum(J._opened(blobs.filter(pa.array(route == x)), np.uint64)[1].size for x in range(0, J.FAN, 16))
+
+
+def test_copies_of_a_third_of_the_rows(spark, monkeypatch):
+    """Sets that very many rows have, and empty sets, are joined apart from the others."""
+    rows = [(i, "one hot text that a third of all rows hold" if i % 3 == 0 else None if i % 3 == 1 else f"own words {i} of a row and more {i}") for i in range(600)]
+    assert ours(spark, rows) == brute(rows)
+    monkeypatch.setattr("loomgrain.llm.components.MOST", 3)
+    rows = corpus(9, bases=4, copies=25)
+    assert ours(spark, rows) == brute(rows)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{i * 7919 % 5000}" for i in range(120_000))
+    rows = [(1, long), (2, long + " end"), (3, long.replace("w17 ", "x ")), (4, "short one of some words here")]
+    frame = spark.createDataFrame([(*x, "q", 1, "z", 2) for x in rows], "doc_id long, text string, digest string, n long, label string, component_id int")
+    found = J.similar_links(frame).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute(rows) and frame.count() == len(found)
+
+
 def test_hot_tokens(spark, monkeypatch):
     monkeypatch.setattr(J, "HOT_LEAST", 20)
     common = "these six words are found everywhere here"
