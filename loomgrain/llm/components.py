@@ -52,19 +52,21 @@ def merge(labels: DataFrame, links: DataFrame, most_turns: int = 100) -> DataFra
     to = labels.select(F.col("id"), F.col("label"))
     named = links.join(to.withColumnsRenamed({"id": "a", "label": "la"}), "a").join(to.withColumnsRenamed({"id": "b", "label": "lb"}), "b")
     edges = named.filter("la != lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    moves = []  # what each turn renames; the labels follow all of it at the end, in one step
     for _ in range(most_turns):
         edges = written(edges.repartition("a", F.pmod(F.xxhash64("b"), F.lit(SALTS))).mapInArrow(_contract, "a string, b string"), "links")
         if edges.isEmpty():
-            return labels
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("x"), F.least("a", "p").alias("p"))
-        least = written(least, "least")
         further = least.select(F.col("x").alias("p"), F.col("p").alias("q"))
         parent = written(least.join(further, "p").select("x", F.least("p", "q").alias("p")), "parents")
-        labels = written(
-            labels.join(parent, labels["label"] == parent["x"], "left").select("id", F.coalesce("p", "label").alias("label")), "labels"
-        )
-        ends = lambda c, n: parent.select(F.col("x").alias(c), F.col("p").alias(n))
+        moves.append(parent)
+        ends = lambda c, n: parent.select(F.col("x").alias(c), F.col("p").alias(n))  # noqa: B023, E731
         moved = edges.join(ends("a", "pa"), "a").join(ends("b", "pb"), "b").filter("pa != pb")
         edges = moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct()
-    raise RuntimeError("components did not settle")
+    else:
+        raise RuntimeError("components did not settle")
+    for parent in moves:
+        labels = labels.join(parent, labels["label"] == parent["x"], "left").select("id", F.coalesce("p", "label").alias("label"))
+    return written(labels, "labels") if moves else labels
