@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, chain
 
 from loomgrain.functions.text import CJK, LATIN_TOKEN, SYMBOL
 
@@ -39,27 +42,26 @@ def windows(text: str, most: int) -> list[str]:
     return [join(words[i : i + most]) for i in range(0, len(words), most)]
 
 
+def packings(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of greedy groups: each reaches as far as the running total allows; what is too large by itself stands alone."""
+    totals = [0, *accumulate(sizes)]
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, bisect_right(totals, totals[at] + most) - 1)
+        yield at, to
+        at = to
+
+
 def packed_sentences(text: str, most: int) -> list[str]:
     """Sentences packed greedily; one that is too long by itself is cut into windows."""
     if size(text) <= most:
         return [text] if text else []
     sentences = [s for s in map(str.strip, _SENTENCE.split(text)) if s]
-    if len(sentences) <= 1:
+    if len(sentences) < 2:
         return windows(text, most)
-    out: list[str] = []
-    held: list[str] = []
-    total = 0
-    for sentence in sentences:
-        n = size(sentence)
-        if held and (n > most or total + n > most):
-            out.append(join(held))
-            held, total = [], 0
-        if n > most:
-            out += windows(sentence, most)
-        else:
-            held.append(sentence)
-            total += n
-    return out + ([join(held)] if held else [])
+    sizes = list(map(size, sentences))
+    cut = [windows(sentences[a], most) if sizes[a] > most else [join(sentences[a:b])] for a, b in packings(sizes, most)]
+    return list(chain.from_iterable(cut))
 
 
 def bag(text: str) -> dict[str, int]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Token classes and word lists that results depend on.
@@ -55,10 +55,8 @@ def _all(text: Column, pattern: str) -> Column:
 def estimate_tokens(text: Column | str) -> Column:
     """Latin tokens + CJK characters + currency and comparison symbols; 0 if blank, else at least 1."""
     t = F.coalesce(_col(text), F.lit(""))
-    cjk = F.size(_all(t, f"[{CJK}]"))
-    latin = F.size(_all(F.regexp_replace(t, f"[{CJK}]", " "), LATIN_TOKEN))
-    symbols = F.size(_all(t, SYMBOL))
-    return F.when(normalize(t) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), latin + cjk + symbols)).cast("long")
+    found = F.size(_all(t, f"{LATIN_TOKEN}|[{CJK}]|{SYMBOL}"))  # no token spans a character of another class
+    return F.when(~t.rlike(r"(?U)\S"), F.lit(0)).otherwise(F.greatest(F.lit(1), found)).cast("long")
 
 
 def word_count(text: Column | str) -> Column:
@@ -111,13 +109,46 @@ def cjk_tokens(text: Column | str, most: int = 3) -> Column:
 
 
 def tokens(text: Column | str, profile: str = "mixed") -> Column:
-    """Tokens by profile name; an unknown profile is an error."""
+    """Tokens by profile name; an unknown profile is an error. ('jieba' is a table function: with_tokens.)"""
     makers = {"mixed": bm25_tokens, "cjk_bigram": cjk_tokens, "cjk_2_4gram": lambda t: cjk_tokens(t, 4)}
     if profile not in makers:
         raise ValueError(f"unknown tokenizer profile {profile!r}; known: {', '.join(sorted(makers))}")
     return makers[profile](text)
 
 
+def with_tokens(rows: DataFrame, profile: str = "mixed") -> DataFrame:
+    """rows (with text) and their tokens under the profile; 'jieba' needs a segmenter and falls back to bigrams without it."""
+    if profile != "jieba":
+        return rows.withColumn("tokens", tokens("text", profile))
+    try:
+        import jieba  # noqa: F401
+    except ImportError:
+        return rows.withColumn("tokens", cjk_tokens("text"))
+    return rows.withColumn("tokens", F.pandas_udf(_segmented, "array<string>")("text"))
+
+
+def _segmented(texts):
+    """Segmented words of two characters or more, with the 2- and 3-grams of each CJK word; latin tokens as they are."""
+    import re
+
+    import jieba
+
+    latin, span = re.compile(LATIN_TOKEN), re.compile(f"[{CJK}]+")
+    stop = {*QUERY_STOPWORDS, *QUERY_STOPWORDS_ZH}
+
+    def cut(text: str | None) -> list[str]:
+        found: list[str] = []
+        for word in (w.strip().lower() for w in jieba.lcut(text or "", cut_all=False)):
+            if latin.fullmatch(word):
+                found.append(word)
+            elif span.fullmatch(word):
+                grams = [word[i : i + n] for n in (2, 3) for i in range(len(word) - n + 1)]
+                found += [word, *grams] if len(word) > 1 else [word]
+        return [w for w in found if w not in stop and (len(w) > 1 or span.fullmatch(w))]
+
+    return texts.map(cut)
+
+
 def join_pieces(pieces: Column) -> Column:
     """With spaces, or without any where a piece holds a CJK character."""
     cjk = F.exists(pieces, lambda p: p.rlike(f"[{CJK}]"))
@@ -180,6 +211,12 @@ def safe_id(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(_col(text), "[^0-9A-Za-z_.-]+", "_"), "^_+|_+$", "")
 
 
+def safe_id_or_hash(text: Column | str) -> Column:
+    """safe_id; an id of which nothing is left becomes the hash of the empty text."""
+    found = safe_id(F.coalesce(_col(text), F.lit("")))
+    return F.when(found != "", found).otherwise(stable_hash(F.lit("")))
+
+
 def stable_hash(text: Column | str) -> Column:
     return F.substring(F.sha1(_col(text).cast("binary")), 1, 12)
 
@@ -249,17 +286,29 @@ def common_path(paths: Column) -> Column:
     return F.when(F.size(held) == 0, empty).when(F.size(prefix) > 0, prefix).otherwise(tops)
 
 
-def frequent(words: Column, most: int) -> Column:
-    """The most frequent words; ties go to the one met first."""
+def runs(words: Column) -> Column:
+    """Each different word with its count n and its first place p (from 0), in order of words: one sort, and a walk over the ends of runs."""
+    sorted_ = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
 
+    def cut(held: Column) -> Column:
+        size = F.size(held)
+        at = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(at, lambda i: (i == 0) | (F.get(held, i)["w"] != F.get(held, i - 1)["w"]))
 
-    def ranked(held: Column) -> Column:
-        return F.transform(
-            F.array_distinct(held),
-            lambda w: F.struct((F.size(F.array_remove(held, w)) - F.size(held)).alias("k"), F.array_position(held, w).alias("p"), w.alias("w")),
-        )
+        def counted(s: Column) -> Column:
+            return F.transform(
+                s, lambda i, j: F.struct(F.get(held, i)["w"].alias("w"), (F.coalesce(F.get(s, j + 1), size) - i).alias("n"), F.get(held, i)["p"].alias("p"))
+            )
+
+        return let(starts, counted)
 
-    return F.slice(F.transform(F.array_sort(let(words, ranked)), lambda s: s["w"]), 1, most)
+    return let(sorted_, cut)
+
+
+def frequent(words: Column, most: int) -> Column:
+    """The most frequent words; ties go to the one met first."""
+    ranked = F.transform(runs(words), lambda r: F.struct((-r["n"]).alias("n"), r["p"].alias("p"), r["w"].alias("w")))
+    return F.transform(F.slice(F.array_sort(ranked), 1, most), lambda s: s["w"])
 
 
 def nearest_rank(values: Column, q: float) -> Column:

@@ -1,17 +1,22 @@
-"""Chunk enrichment without a model: the deterministic provider, its normalisation, and question-answer rows.
+"""Chunk enrichment: the deterministic provider, the normaliser of any provider's raw answers, and question-answer rows.
 
-A provider is any callable from a chunks DataFrame to a column struct; the deterministic
-one below is expressions only. A remote provider needs a network and is not part of this.
+A provider is a function from chunks to chunks with a column `answer`, the raw text of
+its answer for each (null where it has none). What the answer holds in the expected form
+replaces the deterministic values; the rest stays. A remote provider needs a network and
+is not part of this.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.functions import text as T
 
 PROVIDER = "deterministic"
+# Tags that name no topic.
 WEAK = "abstract|introduction|related work|paragraph|list|table|figure|caption|formula|code".split("|")
 
 
@@ -52,6 +57,54 @@ def clamp(value: Column, default: Column) -> Column:
     return F.round(F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.coalesce(value.try_cast("double"), default))), 2)
 
 
+def as_list(value: Column) -> Column:
+    """A JSON value as a list of texts: a list's elements, or the parts of a text between commas; empties dropped."""
+    listed = F.from_json(value, "array<string>")
+    text = F.coalesce(F.get_json_object(F.concat(F.lit('{"x":'), value, F.lit("}")), "$.x"), F.lit(""))
+    many = F.when(F.ltrim(value).startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).otherwise(F.split(text, ","))
+    return F.filter(F.transform(F.coalesce(many, F.array().cast("array<string>")), T.normalize), lambda x: x != "")
+
+
+Provider = Callable[[DataFrame], DataFrame]
+_PAIR = "struct<instruction:string,question:string,answer:string,answerability:string,faithfulness_score:string>"
+
+
+def provided(chunks: DataFrame, provider: Provider, name: str, topic_tags: int = 8, entity_tags: int = 12) -> DataFrame:
+    """chunks with enrichment by a provider's raw answers, normalised over the deterministic one."""
+    return normalised(provider(enrich(chunks, topic_tags, entity_tags)), F.col("answer"), name, topic_tags, entity_tags).drop("answer")
+
+
+def normalised(enriched: DataFrame, answer: Column, provider: str, topic_tags: int = 8, entity_tags: int = 12) -> DataFrame:
+    """enrich() rows with what a raw answer holds: texts normalised, lists deduped and cut, scores clamped, an unknown risk or a missing value left as it was, at most three pairs."""
+    rows = enriched.withColumn("_raw", extract_json(answer))
+    old = F.col("enrichment")
+    field = lambda n: F.get_json_object("_raw", f"$.{n}")
+    text = lambda value, default: F.when(T.normalize(value) != "", T.normalize(value)).otherwise(default)
+
+    def listed(name: str, default: Column, most: int) -> Column:
+        found = F.when(F.ltrim(field(name)).startswith("["), as_list(field(name))).otherwise(F.filter(F.transform(F.split(field(name), ","), T.normalize), lambda x: x != ""))
+        return F.when(field(name).isNotNull(), dedupe(F.coalesce(found, F.array().cast("array<string>")), most)).otherwise(default)
+
+    def pair(p: Column) -> Column:
+        known = p["answerability"].isin("answerable", "unanswerable")
+        return F.struct(
+            text(p["instruction"], F.lit("Answer using only the provided chunk.")).alias("instruction"), T.normalize(p["question"]).alias("question"), T.normalize(p["answer"]).alias("answer"),
+            F.when(known, p["answerability"]).when(F.coalesce(p["answer"], F.lit("")) != "", "answerable").otherwise("unanswerable").alias("answerability"),
+            clamp(p["faithfulness_score"], F.lit(4.5)).alias("faithfulness_score"), F.slice("source_blocks", 1, 5).alias("evidence_source_blocks"),
+        )
+
+    pairs = F.transform(F.slice(F.from_json(field("qa_pairs"), f"array<{_PAIR}>"), 1, 3), pair)
+    score = lambda n, default: clamp(F.coalesce(field(n), F.lit("")), default)
+    risk_found = F.when(field("faithfulness_risk").isin("low", "medium", "high"), field("faithfulness_risk")).otherwise(old["risk"])
+    made = F.struct(
+        F.lit(provider).alias("provider"), text(field("summary"), old["summary"]).alias("summary"), listed("topic_tags", old["topic_tags"], topic_tags).alias("topic_tags"),
+        listed("entity_tags", old["entity_tags"], entity_tags).alias("entity_tags"), score("semantic_integrity_score", old["integrity"]).alias("integrity"),
+        score("summary_faithfulness_score", old["faithfulness"]).alias("faithfulness"), score("tag_accuracy_score", old["tag_accuracy"]).alias("tag_accuracy"),
+        risk_found.alias("risk"), F.when(field("qa_pairs").isNotNull(), F.coalesce(pairs, F.slice(old["qa_pairs"], 1, 0))).otherwise(old["qa_pairs"]).alias("qa_pairs"),
+    )
+    return rows.withColumn("enrichment", F.when(F.col("_raw").isNull(), old).otherwise(made)).drop("_raw")
+
+
 def enrich(chunks: DataFrame, topic_tags: int = 8, entity_tags: int = 12) -> DataFrame:
     """chunks with enrichment (struct) by the deterministic provider."""
     summary = T.normalize(F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary")).otherwise(T.summary("text", 60)))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrain.operators import bm25
+from loomgrain.session import written
+
 KS = (1, 3, 5)
 
 
@@ -52,21 +55,77 @@ def per_query(hits: DataFrame, gold: DataFrame, ks=KS, ndcg_k: int = 5) -> DataF
         gains.alias("dcg"),
         *(c.cast("long").alias(f"covered_{k}") for k, c in covered.items()),
     )
+    return measures(rows.join(size, "query_id"), ks, ndcg_k)
+
+
+def relevant_units(units: DataFrame, gold: DataFrame) -> DataFrame:
+    """query_id, unit, covered: the units (unit, blocks) that hold some of a query's gold blocks, and which."""
+    each = units.select("unit", F.explode("blocks").alias("block_id"))
+    return each.join(gold.distinct(), "block_id").groupBy("query_id", "unit").agg(F.collect_set("block_id").alias("covered"))
+
+
+def full_ranking(scored: DataFrame, asked: DataFrame, units: DataFrame, gold: DataFrame, ks=KS, ndcg_k: int = 5) -> DataFrame:
+    """One row for each query that has gold, over the whole ranking of all units.
+
+    scored: query_id, unit, score of the pairs that share a term; every other unit has score
+    0, ties go to the smaller unit, and a query without tokens (not in asked) has no hits.
+    The first relevant rank is found by counting the units ahead of the best relevant one,
+    so nothing is sorted but the few hits that the cut-offs ask for.
+    """
+    ks = check_ks(ks)
+    scored = written(scored.select("query_id", "unit", F.round("score", 6).alias("score")), "scored")
+    relevant = written(relevant_units(units, gold), "relevant")
+    held = relevant.join(scored, ["query_id", "unit"], "left").join(asked.select("query_id").distinct(), "query_id")
+    place = F.struct(F.coalesce("score", F.lit(0.0)).alias("s"), (-F.col("unit")).alias("u"))
+    best = held.groupBy("query_id").agg(F.max(place).alias("b")).select("query_id", F.col("b.s").alias("s"), (-F.col("b.u")).alias("u"))
+    best = written(best, "best")
+    higher, before = F.col("score") > F.col("s"), F.col("unit") < F.col("u")
+    ahead = scored.join(best, "query_id").groupBy("query_id").agg(
+        F.count_if(higher | ((F.col("score") == F.col("s")) & before)).alias("ahead"), F.count("*").alias("matched"), F.count_if(before).alias("matched_before")
+    )
+    # Only where the best relevant unit has no positive score do units without a score stand before it.
+    low = best.filter("s <= 0")
+    if low.isEmpty():
+        zeros = low.select("query_id", F.lit(0).cast("long").alias("units_before"), F.lit(0).cast("long").alias("units"))
+    else:
+        zeros = units.select("unit").join(F.broadcast(low)).groupBy("query_id").agg(F.count_if(before).alias("units_before"), F.count("*").alias("units"))
+    none = F.lit(0).cast("long")
+    count = lambda c: F.coalesce(c, none)
+    unscored = (
+        F.when(F.col("s") > 0, none).when(F.col("s") < 0, count("units") - count("matched")).otherwise(count("units_before") - count("matched_before"))
+    )
+    first = best.join(ahead, "query_id", "left").join(zeros, "query_id", "left").select("query_id", (1 + count("ahead") + unscored).alias("first_relevant_rank"))
+    most = max(*ks, ndcg_k)
+    top = bm25.top_k_of_all(scored, asked, units, "query_id", "unit", most).join(relevant, ["query_id", "unit"])
+    gains = top.groupBy("query_id").agg(
+        F.sum(F.when(F.col("rank") <= ndcg_k, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
+        F.count_if(F.col("rank") <= ks[-1]).alias("relevant_hits"),
+        *(F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("rank") <= k, F.col("covered")))))).cast("long").alias(f"covered_{k}") for k in ks),
+    )
+    size = gold.groupBy("query_id").agg(F.countDistinct("block_id").alias("gold_size"))
+    number = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    rows = size.join(first, "query_id", "left").join(number, "query_id", "left").join(gains, "query_id", "left").na.fill(0)
+    return measures(rows, ks, ndcg_k)
+
+
+def measures(rows: DataFrame, ks: list[int], ndcg_k: int) -> DataFrame:
+    """The measures of each query from its first relevant rank, dcg, number of relevant units, gold size and covered gold by cut-off."""
     first = F.col("first_relevant_rank")
     ideal = F.aggregate(
         F.when(F.col("n_relevant") > 0, F.sequence(F.lit(1), F.least(F.col("n_relevant"), F.lit(ndcg_k)).cast("int"))).otherwise(F.array().cast("array<int>")),
         F.lit(0.0),
         lambda a, i: a + 1.0 / F.log2(i + 1.0),
     )
-    rows = rows.join(size, "query_id")
+    names = [c for c in ("strategy", "retriever") if c in rows.columns]
     recall = lambda k: F.col(f"covered_{k}") / F.col("gold_size")
     return rows.select(
-        "strategy", "retriever", "query_id", "first_relevant_rank",
+        *names, "query_id", "first_relevant_rank",
         F.when(first > 0, 1.0 / first).otherwise(0.0).alias("reciprocal_rank"),
         F.when(ideal > 0, F.col("dcg") / ideal).otherwise(0.0).alias("ndcg"),
         *(recall(k).alias(f"recall_{k}") for k in ks),
         *((F.col(f"covered_{k}") > 0).cast("int").alias(f"hit_{k}") for k in ks),
         *((F.col(f"covered_{k}") == F.col("gold_size")).cast("int").alias(f"full_{k}") for k in ks),
+        "gold_size", (F.col("gold_size") - F.col(f"covered_{ks[-1]}")).alias("missing_gold"), *(["relevant_hits"] if "relevant_hits" in rows.columns else []),
     )
 
 
@@ -79,6 +138,27 @@ def summary(rows: DataFrame, ks=KS) -> DataFrame:
     )
 
 
+def metric_rows(metrics: DataFrame, sizes: DataFrame, scope: str = "global", fields: tuple[str, ...] = ("text",), skipped: DataFrame | None = None, retriever: str | None = None) -> DataFrame:
+    """metrics with each strategy's number of chunks, the search scope, the index fields and (from skip_reasons) why queries were left out; of one retriever if asked."""
+    rows = metrics.join(sizes, "strategy", "left").withColumns({"search_scope": F.lit(scope), "index_fields": F.lit(",".join(fields))})
+    if skipped is not None:
+        rows = rows.join(F.broadcast(skipped))
+    return rows if retriever is None else rows.filter(F.col("retriever") == retriever)
+
+
+def query_rows(rows: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row for each retriever, query and strategy: the summary that a list of queries shows."""
+    kept = rows.select("retriever", "query_id", "strategy", F.col("gold_size").alias("gold_blocks"), "first_relevant_rank", "reciprocal_rank", "recall_5", "hit_5", "missing_gold", "relevant_hits")
+    return kept.join(cases.select("retriever", "query_id", "case_type"), ["retriever", "query_id"])
+
+
+def comparison(hits: DataFrame, relevant: DataFrame, query_id: object | None = None) -> DataFrame:
+    """The best hits side by side, with the gold blocks each covers; of one query if asked (no rows if it is unknown)."""
+    met = hits.join(relevant, ["query_id", "unit"], "left")
+    out = met.withColumns({"is_relevant": F.col("covered").isNotNull(), "covered": F.array_join(F.array_sort(F.coalesce("covered", F.array().cast("array<string>"))), ",")})
+    return out if query_id is None else out.filter(F.col("query_id") == query_id)
+
+
 METRICS = ("recall_1", "recall_3", "recall_5", "mrr", "ndcg_5")
 
 

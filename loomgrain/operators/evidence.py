@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from loomgrain.functions import text as T
 
 _KEY = 5  # words that lead a passage to the documents that may hold it
+# The least score of a match, and the kinds of block that can be evidence.
 LEAST = 0.18
+EVIDENCE_TYPES = "abstract paragraph table figure caption".split()
 
 
 def _windows(words):
@@ -38,21 +40,48 @@ def containment(items: DataFrame, docs: DataFrame, item_key: str = "item_id", do
 
 
 def match(evidence: DataFrame, blocks: DataFrame, least: float = LEAST) -> DataFrame:
-    """The best block of its document for each evidence: evidence (query_id, doc_id, place, text), blocks (doc_id, block_id, order, text).
+    """The best block of its document for each evidence, one row each: evidence (query_id, doc_id, place, text), blocks (doc_id, block_id, type, order, text).
 
-    Containment either way scores by length ratio, else word overlap decides; ties go to
-    the earlier block; below least there is no match.
+    Only blocks of an evidence kind take part. Containment either way scores by length
+    ratio, else word overlap decides; ties go to the earlier block. The method is that of
+    the last block, in document order, that raised the score by containment, if any. Below
+    least the evidence is unmatched and keeps its score; blank evidence is 'empty'.
     """
-    e = evidence.select("query_id", "doc_id", "place", T.normalize_for_match("text").alias("e")).filter("e <> ''")
-    b = blocks.select("doc_id", "block_id", "order", T.normalize_for_match("text").alias("b")).filter("b <> ''")
+    e = evidence.select("query_id", "doc_id", "place", T.normalize_for_match("text").alias("e"))
+    b = blocks.filter(F.col("type").isin(EVIDENCE_TYPES)).select("doc_id", "block_id", F.col("type").alias("block_type"), "order", T.normalize_for_match("text").alias("b"))
     le, lb = F.length("e"), F.length("b")
-    scored = e.join(b, "doc_id").withColumn(
-        "score",
-        F.when(F.contains("b", "e"), F.least(F.lit(1.0), 0.85 + le / lb))
-        .when(F.contains("e", "b"), F.least(F.lit(0.95), 0.75 + lb / le))
-        .otherwise(T.token_f1(F.col("e"), F.col("b"))),
+    within, holds = F.contains("b", "e"), F.contains("e", "b")
+    scored = e.filter("e <> ''").join(b.filter("b <> ''"), "doc_id").withColumns(
+        {
+            "score": F.when(within, F.least(F.lit(1.0), 0.85 + le / lb)).when(holds, F.least(F.lit(0.95), 0.75 + lb / le)).otherwise(T.token_f1(F.col("e"), F.col("b"))),
+            "method": F.when(within, "substring").when(holds, "block_in_evidence"),
+        }
     )
-    scored = scored.withColumn("method", F.when(F.contains("b", "e"), "block_contains").when(F.contains("e", "b"), "block_within").otherwise("word_overlap"))
-    order = Window.partitionBy("query_id", "doc_id", "place").orderBy(F.desc("score"), "order")
-    best = scored.withColumn("r", F.row_number().over(order)).filter((F.col("r") == 1) & (F.col("score") >= least))
-    return best.select("query_id", "doc_id", "place", "block_id", F.round("score", 6).alias("score"), "method")
+    walk = Window.partitionBy("query_id", "doc_id", "place").orderBy("order")
+    raised = F.col("score") > F.coalesce(F.max("score").over(walk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    said = scored.withColumn("named", F.when(raised, F.col("method"))).withColumn("named", F.last("named", ignorenulls=True).over(walk))
+    best = said.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "doc_id", "place").orderBy(F.desc("score"), "order"))).filter("r = 1")
+    found = e.join(best.select("query_id", "doc_id", "place", "block_id", "block_type", "score", "named"), ["query_id", "doc_id", "place"], "left")
+    score = F.coalesce("score", F.lit(0.0))
+    matched = score >= least
+    method = F.when(F.col("e") == "", "empty").when(~matched, "unmatched").otherwise(F.coalesce("named", F.lit("token_overlap")))
+    return found.select(
+        "query_id", "doc_id", "place", F.when(matched, F.col("block_id")).alias("block_id"), F.when(matched, F.round(score, 4)).otherwise(score).alias("score"),
+        method.alias("method"), F.when(matched, F.col("block_type")).alias("block_type"),
+    )
+
+
+def conversion_stats(blocks: DataFrame, queries: DataFrame, matches: DataFrame, warnings: DataFrame | None = None) -> DataFrame:
+    """One row: documents, blocks, queries by answerability, evidence items, how many met a block and at what rate, and warnings."""
+    rate = F.when(F.count("*") > 0, F.round(F.count("block_id") / F.count("*"), 6))
+    parts = [
+        blocks.agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("blocks")),
+        queries.agg(F.count("*").alias("queries"), F.count_if("is_unanswerable").alias("unanswerable_queries"), F.count_if(~F.col("is_unanswerable")).alias("answerable_queries")),
+        matches.agg(F.count("*").alias("evidence_items"), F.count("block_id").alias("matched_evidence_items"), rate.alias("evidence_match_rate")),
+    ]
+    if warnings is not None:
+        parts.append(warnings.agg(F.count("*").alias("warnings")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(F.broadcast(part))
+    return out

@@ -25,18 +25,27 @@ class FixedConfig:
     include_title_context: bool = False
 
 
+_SHELF = 256  # group numbers are gathered on shelves, so that a step copies a shelf and not all that went before
+
+
 def pack(tokens, target: int):
     """Group numbers (from 1) of greedy packing; a size over the target gets a group of its own."""
-    zero = F.struct(F.lit(0).alias("group"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("open"), F.array().cast("array<int>").alias("out"))
+    none = F.array().cast("array<int>")
+    zero = F.struct(
+        F.lit(0).alias("group"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("open"), none.alias("shelf"), F.array().cast("array<array<int>>").alias("out")
+    )
 
     def step(acc, size):
         over = size > target
         fresh = over | ~acc["open"] | (acc["held"] + size > target)
         group = F.when(fresh, acc["group"] + 1).otherwise(acc["group"])
         held = F.when(over, F.lit(0).cast("long")).when(fresh, size).otherwise(acc["held"] + size)
-        return F.struct(group.alias("group"), held.alias("held"), (~over).alias("open"), F.concat(acc["out"], F.array(group)).alias("out"))
+        full = F.size(acc["shelf"]) >= _SHELF
+        shelf = F.when(full, F.array(group)).otherwise(F.concat(acc["shelf"], F.array(group)))
+        out = F.when(full, F.concat(acc["out"], F.array(acc["shelf"]))).otherwise(acc["out"])
+        return F.struct(group.alias("group"), held.alias("held"), (~over).alias("open"), shelf.alias("shelf"), out.alias("out"))
 
-    return F.aggregate(tokens, zero, step, lambda acc: acc["out"])
+    return F.aggregate(tokens, zero, step, lambda acc: F.concat(F.flatten(acc["out"]), acc["shelf"]))
 
 
 def chunks(blocks: DataFrame, config: FixedConfig = FixedConfig()) -> DataFrame:

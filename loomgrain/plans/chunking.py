@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrain.functions import text as T
 from loomgrain.operators import boundary, chunk_rows, fixed, folded, reports, tfidf
+from loomgrain.plans import chunksql as C
 from loomgrain.plans import sqltext as S
 from loomgrain.plans import views
 from loomgrain.session import table
@@ -99,7 +100,8 @@ def breakpoints_p75(spark, sf):
 
 
 def _slim(chunks):
-    return chunks.select("chunk_id", "doc_id", "token_count", "source_blocks", "quality_flags", "tags", "summary")
+    listed = lambda c: F.array_join(c, ",").alias(c)
+    return chunks.select("chunk_id", "doc_id", "token_count", listed("source_blocks"), listed("quality_flags"), listed("tags"), "summary")
 
 
 def recursive_chunks(spark, sf):
@@ -118,6 +120,14 @@ def structure_chunk_report(spark, sf):
     return reports.chunk_report(folded.structure_chunks(views.turn_blocks(spark, sf)))
 
 
+def structure_turn_chunks(spark, sf):
+    return _slim(folded.structure_chunks(views.turn_blocks(spark, sf)))
+
+
+def boundary_reasons(spark, sf):
+    return reports.reason_histogram(folded.structure_chunks(views.line_blocks(spark, sf)))
+
+
 def boundary_summary(spark, sf):
     return reports.boundary_summary(folded.structure_chunks(views.turn_blocks(spark, sf)))
 
@@ -127,7 +137,7 @@ QUERIES = {
     for f in (
         content_blocks, block_types, block_text_titled, page_blocks, fixed_chunks, fixed_chunk_report, flag_histogram, source_anchor,
         boundary_stats, adaptive_profile, adjacent_similarity, sentence_tfidf, adjacent_tfidf_distance, breakpoints_p75,
-        recursive_chunks, semantic_chunks, structure_chunks, structure_chunk_report, boundary_summary,
+        recursive_chunks, semantic_chunks, structure_chunks, structure_turn_chunks, structure_chunk_report, boundary_summary, boundary_reasons,
     )
 }
 
@@ -177,7 +187,17 @@ _UNITS = rf"""
     weighted AS (SELECT doc_id, place, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, place)) AS w FROM raw),
     near AS (SELECT a.doc_id, a.place, sum(a.w * b.w) AS s FROM weighted a JOIN weighted b ON a.doc_id = b.doc_id AND a.term = b.term AND b.place = a.place + 1 GROUP BY ALL),
     distances AS (SELECT p.doc_id, p.place, 1.0 - coalesce(s, 0.0) AS distance FROM placed p LEFT JOIN near USING (doc_id, place) WHERE p.place < p.n)"""
+_AVG = "round(round(avg({}), 9), 4)"
 SQL = {
+    "recursive_chunks": f"{C.RECURSIVE} SELECT {C.SLIM} FROM done",
+    "semantic_chunks": f"{C.SEMANTIC} SELECT {C.SLIM} FROM done",
+    "structure_chunks": f"{C.structure(C.DOCUMENT_SRC)} SELECT {C.SLIM} FROM merged",
+    "structure_turn_chunks": f"{C.structure(C.TURN_SRC)} SELECT {C.SLIM} FROM merged",
+    "structure_chunk_report": f"""{C.structure(C.TURN_SRC)} SELECT 'structure' AS strategy, count(*) AS chunks, sum(token_count)::BIGINT AS total_tokens,
+        round(avg(token_count), 2) AS avg_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens FROM merged""",
+    "boundary_summary": f"""{C.structure(C.TURN_SRC)} SELECT 'structure' AS strategy, count(d) AS scored, round(count(d) / count(*), 4) AS coverage, {_AVG.format('d.score')} AS avg_score,
+        round(max(d.score), 4) AS max_score, {_AVG.format('d.distance')} AS avg_distance, {_AVG.format('d.similarity')} AS avg_similarity, count(*) FILTER (d.triggered) AS semantic_triggered FROM merged""",
+    "boundary_reasons": f"{C.structure(C.DOCUMENT_SRC)} SELECT 'structure' AS strategy, d.reason AS reason, count(*) AS n FROM merged WHERE d IS NOT NULL GROUP BY ALL",
     "content_blocks": f"WITH {views.LINES_SQL} SELECT {_BLOCK_ID} AS block_id, type, size AS tokens, len(string_split(norm, ' ')) AS words FROM lines",
     "block_types": f"WITH {views.LINES_SQL} SELECT type, count(*) AS n FROM lines GROUP BY type",
     "block_text_titled": f"""WITH {views.LINES_SQL} SELECT {_BLOCK_ID} AS block_id,

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrain.functions import text as T
-from loomgrain.operators import bm25, evaluation, evidence, fixed, fusion, lexical
+from loomgrain.operators import bm25, dense, evaluation, evidence, fixed, fusion, lexical
+from loomgrain.plans import chunksql as C
 from loomgrain.plans import sqltext as S
 from loomgrain.plans import views
-from loomgrain.session import table
+from loomgrain.session import table, written
 
-TOP = 10
+TOP = 5
+PLACE = 10_000_000  # lines of a document, at most, in a unit's place in the corpus
 
 
-def _asked(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", T.bm25_tokens("text").alias("tokens"))
+def _asked(spark: SparkSession, sf: str, key: str = "item_id") -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias(key), T.bm25_tokens("text").alias("tokens"))
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,13 +37,18 @@ def bm25_postings(spark, sf):
     return bm25.postings(_docs(spark, sf), "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def _ranked(spark: SparkSession, sf: str, scored: DataFrame, k: int = 5) -> DataFrame:
+    asked = _asked(spark, sf).filter(F.size("tokens") > 0)
+    return bm25.top_k_of_all(scored, asked, table(spark, sf, "documents"), "item_id", "doc_id", k)
+
+
 def bm25_topk(spark, sf):
     """Five best documents for each benchmark passage."""
-    return bm25.top_k(bm25.scores(_asked(spark, sf), _docs(spark, sf), "item_id", "doc_id"), "item_id", "doc_id", 5)
+    return _ranked(spark, sf, bm25.scores(_asked(spark, sf), _docs(spark, sf), "item_id", "doc_id"))
 
 
 def bm25_okapi_topk(spark, sf):
-    return bm25.top_k(bm25.scores(_asked(spark, sf), _docs(spark, sf), "item_id", "doc_id", "okapi"), "item_id", "doc_id", 5)
+    return _ranked(spark, sf, bm25.scores(_asked(spark, sf), _docs(spark, sf), "item_id", "doc_id", "okapi"))
 
 
 def dense_topk(spark, sf):
@@ -52,13 +61,23 @@ def dense_topk(spark, sf):
 
 
 def cosine_topk(spark, sf):
-    return bm25.top_k(lexical.cosine(_asked(spark, sf), _docs(spark, sf), "item_id", "doc_id"), "item_id", "doc_id", 5)
+    return _ranked(spark, sf, lexical.cosine(_asked(spark, sf), _docs(spark, sf), "item_id", "doc_id"))
+
+
+def dense_svd_topk(spark, sf):
+    """Five nearest documents by the local dense encoder, 32 dimensions."""
+    docs = dense.tokens(table(spark, sf, "documents"), "doc_id")
+    encode = functools.partial(dense.tfidf_svd, dims=32, features=2000)
+    found = dense.search(docs, _asked(spark, sf).filter(F.size("tokens") > 0), "doc_id", "item_id", encode)
+    return bm25.top_k(found, "item_id", "doc_id", 5, places=5)
 
 
 def hybrid_topk(spark, sf):
-    asked, docs = _asked(spark, sf), _docs(spark, sf)
-    both = fusion.fuse(bm25.scores(asked, docs, "item_id", "doc_id"), lexical.cosine(asked, docs, "item_id", "doc_id"), "item_id", "doc_id")
-    return bm25.top_k(both, "item_id", "doc_id", 5).select("item_id", "doc_id", "score", "rank")
+    """BM25 and TF-IDF cosine, each scaled over all documents."""
+    asked, found = bm25.counted(_asked(spark, sf), "item_id"), written(bm25.postings(_docs(spark, sf), "doc_id"), "postings")
+    total = table(spark, sf, "documents").agg(F.count("*").alias("n"))
+    both = fusion.fuse(bm25.posting_scores(asked, found, "item_id", "doc_id"), lexical.posting_cosine(asked, found, "item_id", "doc_id"), "item_id", "doc_id", total)
+    return _ranked(spark, sf, both)
 
 
 def index_text(spark, sf):
@@ -81,39 +100,70 @@ def _evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 def evidence_match(spark, sf):
     found = evidence.match(_evidence(spark, sf), views.line_blocks(spark, sf))
-    return found.select("query_id", "doc_id", F.col("place").cast("long").alias("place"), "block_id", "score", "method")
+    return found.select("query_id", "doc_id", F.col("place").cast("long").alias("place"), "block_id", "score", "method", "block_type")
+
+
+def conversion_stats(spark, sf):
+    """How the passages of the benchmark meet the documents' lines, over every document and item."""
+    blocks, held = views.line_blocks(spark, sf), written(_evidence(spark, sf), "evidence")
+    asked = table(spark, sf, "benchmark").join(held.select(F.col("query_id").alias("item_id")).distinct().withColumn("held", F.lit(True)), "item_id", "left")
+    return evidence.conversion_stats(blocks, asked.select(F.col("held").isNull().alias("is_unanswerable")), evidence.match(held, blocks))
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.match(_evidence(spark, sf), views.line_blocks(spark, sf)).select("query_id", "block_id").distinct()
+    return evidence.match(_evidence(spark, sf), views.line_blocks(spark, sf)).filter("block_id IS NOT NULL").select("query_id", "block_id").distinct()
 
 
-def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Ten best of lines and of fixed chunks under BM25 and cosine."""
+def _corpora(spark: SparkSession, sf: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """By strategy the units (unit: the place in the corpus; name, text, blocks) and their postings, each written once."""
     blocks = views.line_blocks(spark, sf)
+    place = lambda n: (F.col("doc_id").cast("long") * PLACE + F.col(n)).alias("unit")
     units = {
-        "line": blocks.select(F.col("block_id").alias("unit"), "text", F.array("block_id").alias("blocks")),
-        "fixed": fixed.chunks(blocks).select(F.col("chunk_id").alias("unit"), "text", F.col("source_blocks").alias("blocks")),
+        "line": blocks.select(place("order"), F.col("block_id").alias("name"), "text", F.array("block_id").alias("blocks")),
+        "fixed": fixed.chunks(blocks).select(place("index"), F.col("chunk_id").alias("name"), "text", F.col("source_blocks").alias("blocks")),
     }
-    asked, out = _asked(spark, sf), None
-    for strategy, rows in units.items():
-        docs = bm25.tokenised(rows, "unit")
-        for retriever, score in (("bm25", bm25.scores), ("cosine", lexical.cosine)):
-            top = bm25.top_k(score(asked, docs, "item_id", "unit"), "item_id", "unit", TOP)
-            hits = top.join(rows.select("unit", "blocks"), "unit").select(
-                F.lit(strategy).alias("strategy"), F.lit(retriever).alias("retriever"), F.col("item_id").alias("query_id"), "rank", "unit", "score", "blocks"
-            )
-            out = hits if out is None else out.unionByName(hits)
-    return out
+    held = {name: written(rows, "units") for name, rows in units.items()}
+    return {name: (rows, written(bm25.postings(bm25.tokenised(rows, "unit"), "unit"), "postings")) for name, rows in held.items()}
+
+
+RETRIEVERS = {"bm25": bm25.posting_scores, "cosine": lexical.posting_cosine}
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Five best of lines and of fixed chunks under BM25 and cosine, of all of them."""
+    asked, out = _asked(spark, sf, "query_id"), []
+    counted = bm25.counted(asked, "query_id")
+    for strategy, (units, found) in _corpora(spark, sf).items():
+        for retriever, score in RETRIEVERS.items():
+            top = bm25.top_k_of_all(score(counted, found, "query_id", "unit"), asked.filter(F.size("tokens") > 0), units, "query_id", "unit", TOP)
+            out.append(top.join(units, "unit").withColumns({"strategy": F.lit(strategy), "retriever": F.lit(retriever)}))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 def query_hits(spark, sf):
     """Five best hits of each strategy and retriever, side by side."""
-    return _hits(spark, sf).filter("rank <= 5").select("strategy", "retriever", "query_id", "rank", "unit", "score")
+    return _hits(spark, sf).select("strategy", "retriever", "query_id", "rank", F.col("name").alias("unit"), "score")
+
+
+def query_comparison(spark, sf):
+    """The same with the gold blocks each hit covers, and previews."""
+    gold, out = written(_gold(spark, sf), "gold"), []
+    hits = written(_hits(spark, sf), "hits")
+    for strategy in ("line", "fixed"):
+        own = hits.filter(F.col("strategy") == strategy)
+        out.append(evaluation.comparison(own, evaluation.relevant_units(own.select("unit", "blocks").distinct(), gold)))
+    both = functools.reduce(DataFrame.unionByName, out)
+    return both.select("strategy", "retriever", "query_id", "rank", F.col("name").alias("unit"), "score", "is_relevant", "covered", T.preview("text").alias("preview"))
 
 
 def _per_query(spark, sf):
-    return evaluation.per_query(_hits(spark, sf).drop("unit", "score"), _gold(spark, sf))
+    gold, asked, out = written(_gold(spark, sf), "gold"), _asked(spark, sf, "query_id").filter(F.size("tokens") > 0), []
+    counted = bm25.counted(asked, "query_id")
+    for strategy, (units, found) in _corpora(spark, sf).items():
+        for retriever, score in RETRIEVERS.items():
+            rows = evaluation.full_ranking(score(counted, found, "query_id", "unit"), asked, units, gold)
+            out.append(rows.withColumns({"strategy": F.lit(strategy), "retriever": F.lit(retriever)}))
+    return written(functools.reduce(DataFrame.unionByName, out), "per-query")
 
 
 def eval_per_query(spark, sf):
@@ -125,6 +175,14 @@ def eval_metrics(spark, sf):
     return evaluation.summary(_per_query(spark, sf))
 
 
+def metric_rows(spark, sf):
+    """The measures as a table of reports: with the number of units, the scope and the fields."""
+    sizes = views.line_blocks(spark, sf).agg(F.lit("line").alias("strategy"), F.count("*").alias("chunks"))
+    sizes = sizes.unionByName(fixed.chunks(views.line_blocks(spark, sf)).agg(F.lit("fixed").alias("strategy"), F.count("*").alias("chunks")))
+    rows = evaluation.metric_rows(evaluation.summary(_per_query(spark, sf)), sizes, retriever="bm25")
+    return rows.select("strategy", "retriever", "chunks", "queries", "search_scope", "index_fields", *evaluation.METRICS, "hit_5", "full_5")
+
+
 def baseline_delta(spark, sf):
     return evaluation.baseline_delta(evaluation.summary(_per_query(spark, sf)))
 
@@ -137,6 +195,12 @@ def case_type(spark, sf):
     return evaluation.case_types(_per_query(spark, sf), "line", "fixed")
 
 
+def query_summary(spark, sf):
+    rows = _per_query(spark, sf)
+    found = evaluation.query_rows(rows, evaluation.case_types(rows, "line", "fixed"))
+    return found.withColumns({"reciprocal_rank": F.round("reciprocal_rank", 6), "recall_5": F.round("recall_5", 6)})
+
+
 def bad_cases(spark, sf):
     return evaluation.bad_cases(evaluation.case_types(_per_query(spark, sf), "line", "fixed"))
 
@@ -144,32 +208,36 @@ def bad_cases(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        bm25_stats, bm25_postings, bm25_topk, bm25_okapi_topk, dense_topk, cosine_topk, hybrid_topk, index_text, gold_containment, evidence_match,
-        query_hits, eval_per_query, eval_metrics, baseline_delta, best_by_metric, case_type, bad_cases,
+        bm25_stats, bm25_postings, bm25_topk, bm25_okapi_topk, dense_topk, cosine_topk, dense_svd_topk, hybrid_topk, index_text, gold_containment, evidence_match, conversion_stats,
+        query_hits, query_comparison, eval_per_query, eval_metrics, metric_rows, baseline_delta, best_by_metric, case_type, query_summary, bad_cases,
     )
 }
 
 
 def _corpus(name: str, key: str, source: str) -> str:
-    """CTEs <name>_toks, _post, _df, _n for the units (key, text) of source, and _bm25, _cos: item_id, unit, score."""
+    """CTEs <name>_toks, _post, _df, _n for the units (key, text) of source, and _bm25, _cos: item_id, unit, score of every query with a token and every unit."""
     t = S.bm25_tokens("text")
+    every = lambda raw: f"""(SELECT item_id, unit, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT item_id FROM q) CROSS JOIN (SELECT unit FROM {name}_toks)
+        LEFT JOIN ({raw}) USING (item_id, unit))"""
     return f"""
     {name}_toks AS MATERIALIZED (SELECT unit, CASE WHEN len(t) = 0 THEN ['__empty__'] ELSE t END AS t FROM (SELECT {key} AS unit, {t} AS t FROM {source})),
     {name}_n AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {name}_toks),
     {name}_post AS MATERIALIZED (SELECT unit, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT unit, len(t) AS dl, unnest(t) AS term FROM {name}_toks) GROUP BY unit, term),
     {name}_df AS MATERIALIZED (SELECT term, count(*) AS df FROM {name}_post GROUP BY term),
-    {name}_bm25 AS (SELECT item_id, unit, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
-        FROM q JOIN {name}_df USING (term) JOIN {name}_post USING (term), {name}_n GROUP BY item_id, unit),
+    {name}_bm25 AS {every(f"""SELECT item_id, unit, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
+        FROM q JOIN {name}_df USING (term) JOIN {name}_post USING (term), {name}_n GROUP BY item_id, unit""")},
     {name}_w AS (SELECT unit, term, w / sqrt(sum(w * w) OVER (PARTITION BY unit)) AS w FROM
         (SELECT unit, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM {name}_post JOIN {name}_df USING (term), {name}_n)),
     {name}_q AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM
         (SELECT item_id, term, qtf * (ln((1 + n) / (1 + df)) + 1) AS w FROM q JOIN {name}_df USING (term), {name}_n)),
-    {name}_cos AS (SELECT item_id, unit, sum(a.w * b.w) AS score FROM {name}_q a JOIN {name}_w b USING (term) GROUP BY item_id, unit)"""
+    {name}_cos AS {every(f"SELECT item_id, unit, sum(a.w * b.w) AS score FROM {name}_q a JOIN {name}_w b USING (term) GROUP BY item_id, unit")}"""
 
 
-def _top(source: str, k: int, places: int = 6) -> str:
+def _top(source: str, k: int | None, places: int = 6) -> str:
+    """item_id, unit, score, rank: the k best, or the whole ranking."""
+    cut = "" if k is None else f"WHERE rank <= {k}"
     return f"""(SELECT item_id, unit, score, rank FROM (SELECT item_id, unit, round(score, {places}) AS score,
-        row_number() OVER (PARTITION BY item_id ORDER BY round(score, {places}) DESC, unit) AS rank FROM {source}) WHERE rank <= {k})"""
+        row_number() OVER (PARTITION BY item_id ORDER BY round(score, {places}) DESC, unit) AS rank FROM {source}) {cut})"""
 
 
 _Q = f"q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({S.bm25_tokens('text')}) AS term FROM benchmark) GROUP BY item_id, term)"
@@ -180,30 +248,39 @@ _HELD = f"""held AS MATERIALIZED (SELECT item_id, doc_id FROM (SELECT item_id, {
 _MATCH = f"""{_HELD},
     ev AS (SELECT item_id AS query_id, doc_id, place, {_LOWER('line')} AS e FROM
         (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM benchmark) JOIN held USING (item_id)),
-    paired AS (SELECT query_id, ev.doc_id, place, ord, e, lower(norm) AS b FROM ev JOIN lines USING (doc_id) WHERE e <> ''),
+    paired AS (SELECT query_id, ev.doc_id, place, ord, type, e, lower(norm) AS b FROM ev JOIN lines USING (doc_id) WHERE e <> '' AND type IN ('abstract', 'paragraph', 'table', 'figure', 'caption')),
     split AS (SELECT *, list_distinct(string_split(e, ' ')) AS ea, list_distinct(string_split(b, ' ')) AS ba FROM paired),
     rated AS (SELECT *, CASE WHEN contains(b, e) THEN least(1.0, 0.85 + len(e) / len(b)) WHEN contains(e, b) THEN least(0.95, 0.75 + len(b) / len(e))
         ELSE 2.0 * len(list_intersect(ea, ba)) / (len(ea) + len(ba)) END AS score,
-        CASE WHEN contains(b, e) THEN 'block_contains' WHEN contains(e, b) THEN 'block_within' ELSE 'word_overlap' END AS method FROM split),
-    matched AS MATERIALIZED (SELECT query_id, doc_id, place, format('{{}}_b{{:05d}}', doc_id, ord) AS block_id, round(score, 6)::DOUBLE AS score, method FROM
-        (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, place ORDER BY score DESC, ord) AS r FROM rated) WHERE r = 1 AND score >= 0.18)"""
+        CASE WHEN contains(b, e) THEN 'substring' WHEN contains(e, b) THEN 'block_in_evidence' END AS method FROM split),
+    raised AS (SELECT *, CASE WHEN score > coalesce(max(score) OVER (PARTITION BY query_id, doc_id, place ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN method END AS named FROM rated),
+    walked AS (SELECT *, last_value(named IGNORE NULLS) OVER (PARTITION BY query_id, doc_id, place ORDER BY ord) AS said,
+        row_number() OVER (PARTITION BY query_id, doc_id, place ORDER BY score DESC, ord) AS r FROM raised),
+    matched AS MATERIALIZED (SELECT ev.query_id, ev.doc_id, ev.place, CASE WHEN score >= 0.18 THEN format('{{}}_b{{:05d}}', ev.doc_id, ord) END AS block_id,
+        CASE WHEN score >= 0.18 THEN round(score, 4) ELSE coalesce(score, 0.0) END::DOUBLE AS score,
+        CASE WHEN ev.e = '' THEN 'empty' WHEN coalesce(score, 0) < 0.18 THEN 'unmatched' ELSE coalesce(said, 'token_overlap') END AS method, CASE WHEN score >= 0.18 THEN type END AS block_type
+        FROM ev LEFT JOIN walked w ON w.query_id = ev.query_id AND w.doc_id = ev.doc_id AND w.place = ev.place AND r = 1)"""
 _UNITS = f"""WITH RECURSIVE {views.FIXED_SQL}, {_MATCH}, {_Q},
-    gold AS (SELECT DISTINCT query_id, block_id FROM matched),
-    line_units AS (SELECT format('{{}}_b{{:05d}}', doc_id, ord) AS unit, text, [format('{{}}_b{{:05d}}', doc_id, ord)] AS blocks FROM lines),
-    fixed_units AS (SELECT format('{{}}_fixed_chunk_{{:05d}}', doc_id, idx) AS unit, text, list_transform(ords, lambda o: format('{{}}_b{{:05d}}', doc_id, o)) AS blocks FROM chunks),
+    gold AS (SELECT DISTINCT query_id, block_id FROM matched WHERE block_id IS NOT NULL),
+    line_units AS (SELECT doc_id * {PLACE} + ord AS unit, format('{{}}_b{{:05d}}', doc_id, ord) AS name, text, [format('{{}}_b{{:05d}}', doc_id, ord)] AS blocks FROM lines),
+    fixed_units AS (SELECT doc_id * {PLACE} + idx AS unit, format('{{}}_fixed_chunk_{{:05d}}', doc_id, idx) AS name, text, list_transform(ords, lambda o: format('{{}}_b{{:05d}}', doc_id, o)) AS blocks FROM chunks),
     {_corpus('l', 'unit', 'line_units')}, {_corpus('f', 'unit', 'fixed_units')},
     hits AS MATERIALIZED (
-      SELECT 'line' AS strategy, 'bm25' AS retriever, t.*, blocks FROM {_top('l_bm25', TOP)} t JOIN line_units USING (unit) UNION ALL
-      SELECT 'line', 'cosine', t.*, blocks FROM {_top('l_cos', TOP)} t JOIN line_units USING (unit) UNION ALL
-      SELECT 'fixed', 'bm25', t.*, blocks FROM {_top('f_bm25', TOP)} t JOIN fixed_units USING (unit) UNION ALL
-      SELECT 'fixed', 'cosine', t.*, blocks FROM {_top('f_cos', TOP)} t JOIN fixed_units USING (unit))"""
+      SELECT 'line' AS strategy, 'bm25' AS retriever, t.*, name, text, blocks FROM {_top('l_bm25', None)} t JOIN line_units USING (unit) UNION ALL
+      SELECT 'line', 'cosine', t.*, name, text, blocks FROM {_top('l_cos', None)} t JOIN line_units USING (unit) UNION ALL
+      SELECT 'fixed', 'bm25', t.*, name, text, blocks FROM {_top('f_bm25', None)} t JOIN fixed_units USING (unit) UNION ALL
+      SELECT 'fixed', 'cosine', t.*, name, text, blocks FROM {_top('f_cos', None)} t JOIN fixed_units USING (unit)),
+    golds AS (SELECT query_id, list(block_id) AS g FROM gold GROUP BY query_id)"""
+# Every query with gold is judged by its whole ranking of all units; one without tokens has no hits.
 _PER = f"""{_UNITS},
-    golds AS (SELECT query_id, list(block_id) AS g FROM gold GROUP BY query_id),
-    judged AS (SELECT strategy, retriever, query_id, rank, list_intersect(blocks, g) AS cov, len(g) AS gs FROM hits JOIN golds ON query_id = item_id),
+    judged AS (SELECT s.strategy, r.retriever, query_id, rank, list_intersect(blocks, g) AS cov, len(g) AS gs FROM golds
+        CROSS JOIN (VALUES ('line'), ('fixed')) s(strategy) CROSS JOIN (VALUES ('bm25'), ('cosine')) r(retriever)
+        LEFT JOIN hits h ON query_id = item_id AND h.strategy = s.strategy AND h.retriever = r.retriever),
     per AS (SELECT strategy, retriever, query_id, any_value(gs) AS gs, coalesce(min(rank) FILTER (len(cov) > 0), 0) AS first_relevant_rank,
         count(*) FILTER (len(cov) > 0) AS nr, coalesce(sum(1.0 / log2(rank + 1)) FILTER (len(cov) > 0 AND rank <= 5), 0) AS dcg,
-        {", ".join(f"len(list_distinct(flatten(list(cov) FILTER (rank <= {k})))) AS c{k}" for k in (1, 3, 5))} FROM judged GROUP BY ALL),
-    rated_q AS (SELECT strategy, retriever, query_id, first_relevant_rank, CASE WHEN first_relevant_rank > 0 THEN 1.0 / first_relevant_rank ELSE 0.0 END AS reciprocal_rank,
+        count(*) FILTER (len(cov) > 0 AND rank <= 5) AS near, {", ".join(f"coalesce(len(list_distinct(flatten(list(cov) FILTER (rank <= {k})))), 0) AS c{k}" for k in (1, 3, 5))}
+        FROM judged GROUP BY ALL),
+    rated_q AS (SELECT strategy, retriever, query_id, gs, gs - c5 AS missing, near, first_relevant_rank, CASE WHEN first_relevant_rank > 0 THEN 1.0 / first_relevant_rank ELSE 0.0 END AS reciprocal_rank,
         CASE WHEN nr > 0 THEN dcg / list_sum(list_transform(range(1, least(nr, 5) + 1), lambda i: 1.0 / log2(i + 1))) ELSE 0.0 END AS ndcg,
         {", ".join(f"c{k} / gs AS recall_{k}, CAST(c{k} > 0 AS INT) AS hit_{k}, CAST(c{k} = gs AS INT) AS full_{k}" for k in (1, 3, 5))} FROM per),
     metrics AS (SELECT strategy, retriever, count(*) AS queries, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg), 6) AS ndcg_5,
@@ -221,30 +298,45 @@ SQL = {
     "bm25_topk": f"WITH {_DOCS} SELECT item_id, unit AS doc_id, score, rank FROM {_top('d_bm25', 5)}",
     "bm25_okapi_topk": f"""WITH {_DOCS}, raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM d_df, d_n), fl AS (SELECT avg(idf) * 0.25 AS f FROM raw),
       okapi AS (SELECT item_id, unit, sum(qtf * CASE WHEN idf < 0 THEN f ELSE idf END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score
-        FROM q JOIN raw USING (term) JOIN d_post USING (term), d_n, fl GROUP BY item_id, unit) SELECT item_id, unit AS doc_id, score, rank FROM {_top('okapi', 5)}""",
+        FROM q JOIN raw USING (term) JOIN d_post USING (term), d_n, fl GROUP BY item_id, unit),
+      every AS (SELECT item_id, unit, coalesce(score, 0.0) AS score FROM (SELECT DISTINCT item_id FROM q) CROSS JOIN (SELECT unit FROM d_toks) LEFT JOIN okapi USING (item_id, unit))
+      SELECT item_id, unit AS doc_id, score, rank FROM {_top('every', 5)}""",
     "dense_topk": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
       u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS u FROM v),
       m AS (SELECT label, list(m ORDER BY i) AS q FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM u) GROUP BY ALL) GROUP BY label),
       s AS (SELECT m.label, vec_id, round(list_inner_product(q, u), 5) AS score FROM m, u)
       SELECT label, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "cosine_topk": f"WITH {_DOCS} SELECT item_id, unit AS doc_id, score, rank FROM {_top('d_cos', 5)}",
+    # Both sides hold every document, so their least scores are over all candidates.
     "hybrid_topk": f"""WITH {_DOCS}, a AS (SELECT item_id, unit, round(score, 6) AS s FROM d_bm25), b AS (SELECT item_id, unit, round(score, 6) AS s FROM d_cos),
       sa AS (SELECT item_id, unit, CASE WHEN max(s) OVER w = min(s) OVER w THEN 0.0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS x FROM a WINDOW w AS (PARTITION BY item_id)),
       sb AS (SELECT item_id, unit, CASE WHEN max(s) OVER w = min(s) OVER w THEN 0.0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END AS x FROM b WINDOW w AS (PARTITION BY item_id)),
-      fused AS (SELECT item_id, unit, 0.55 * coalesce(sa.x, 0.0) + 0.45 * coalesce(sb.x, 0.0) AS score FROM sa FULL JOIN sb USING (item_id, unit))
+      fused AS (SELECT item_id, unit, 0.55 * sa.x + 0.45 * sb.x AS score FROM sa JOIN sb USING (item_id, unit))
       SELECT item_id, unit AS doc_id, score, rank FROM {_top('fused', 5)}""",
+    "index_text": f"""{C.FIXED} SELECT chunk_id, len({S.bm25_tokens("text || ' ' || array_to_string(tops, ' ') || ' ' || array_to_string(tags, ' ') || ' ' || summary")}) AS n_tokens FROM done""",
     "gold_containment": f"WITH {_HELD} SELECT item_id, doc_id FROM held",
-    "evidence_match": f"WITH {views.LINES_SQL}, {_MATCH} SELECT query_id, doc_id::VARCHAR AS doc_id, place, block_id, score, method FROM matched",
-    "query_hits": f"{_UNITS} SELECT strategy, retriever, item_id AS query_id, rank, unit, score FROM hits WHERE rank <= 5",
+    "evidence_match": f"WITH {views.LINES_SQL}, {_MATCH} SELECT query_id, doc_id::VARCHAR AS doc_id, place, block_id, score, method, block_type FROM matched",
+    "conversion_stats": f"""WITH {views.LINES_SQL}, {_MATCH} SELECT (SELECT count(DISTINCT doc_id) FROM lines) AS documents, (SELECT count(*) FROM lines) AS blocks,
+        (SELECT count(*) FROM benchmark) AS queries, (SELECT count(*) FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM held)) AS unanswerable_queries,
+        (SELECT count(*) FROM benchmark WHERE item_id IN (SELECT item_id FROM held)) AS answerable_queries,
+        count(*) AS evidence_items, count(block_id) AS matched_evidence_items, round(count(block_id) / count(*), 6) AS evidence_match_rate FROM matched""",
+    "query_hits": f"{_UNITS} SELECT strategy, retriever, item_id AS query_id, rank, name AS unit, score FROM hits WHERE rank <= 5",
+    "query_comparison": f"""{_UNITS} SELECT strategy, retriever, item_id AS query_id, rank, name AS unit, score, len(list_intersect(blocks, coalesce(g, []))) > 0 AS is_relevant,
+        array_to_string(list_sort(list_intersect(blocks, coalesce(g, []))), ',') AS covered, left({S.normalize('text')}, 240) AS preview
+        FROM hits LEFT JOIN golds ON query_id = item_id WHERE rank <= 5""",
     "eval_per_query": f"""{_PER} SELECT strategy, retriever, query_id, first_relevant_rank, round(reciprocal_rank, 6)::DOUBLE AS reciprocal_rank, round(ndcg, 6) AS ndcg,
         round(recall_1, 6) AS recall_1, round(recall_3, 6) AS recall_3, round(recall_5, 6) AS recall_5, hit_5, full_5 FROM rated_q""",
     "eval_metrics": f"{_PER} SELECT * FROM metrics",
+    "metric_rows": f"""{_PER} SELECT strategy, retriever, CASE strategy WHEN 'line' THEN (SELECT count(*) FROM line_units) ELSE (SELECT count(*) FROM fixed_units) END AS chunks, queries,
+        'global' AS search_scope, 'text' AS index_fields, {", ".join(evaluation.METRICS)}, hit_5, full_5 FROM metrics WHERE retriever = 'bm25'""",
     "baseline_delta": f"""{_PER} SELECT m.strategy, m.retriever, {", ".join(f"round(m.{x} - b.{x}, 6) AS d_{x}" for x in _M)},
         {", ".join(f"round(CASE WHEN b.{x} <> 0 THEN (m.{x} - b.{x}) / b.{x} * 100 END, 2) AS r_{x}" for x in _M)}
         FROM metrics m JOIN metrics b ON b.retriever = m.retriever AND b.strategy = 'fixed' WHERE m.strategy <> 'fixed'""",
     "best_by_metric": f"""{_PER} SELECT strategy, retriever, metric, value, place FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, strategy, retriever) AS place
         FROM ({" UNION ALL ".join(f"SELECT strategy, retriever, '{x}' AS metric, {x} AS value FROM metrics" for x in _M)})) WHERE place <= 5""",
     "case_type": f"{_CASES} SELECT * FROM cases",
+    "query_summary": f"""{_CASES} SELECT retriever, query_id, strategy, gs AS gold_blocks, first_relevant_rank, round(reciprocal_rank, 6)::DOUBLE AS reciprocal_rank,
+        round(recall_5, 6) AS recall_5, hit_5, missing AS missing_gold, near AS relevant_hits, case_type FROM rated_q JOIN cases USING (retriever, query_id)""",
     "bad_cases": f"""{_CASES} SELECT *, row_number() OVER (PARTITION BY retriever ORDER BY CASE WHEN case_type = 'target_missing' THEN 0 ELSE 1 END, recall, query_id) AS place
         FROM cases WHERE case_type IN ('target_missing', 'baseline_beats_target', 'strategy_disagreement')""",
 }

@@ -6,7 +6,7 @@ from __future__ import annotations
 BLOCK_TYPES = "title abstract heading paragraph list table figure code formula caption unknown".split()
 CONTENT_TYPES = "abstract paragraph list table figure code formula caption".split()
 PROTECTED_TYPES = "table figure code formula list".split()
-NORMALIZATION_STATUSES = ("provided_by_upstream", "source_as_is", "not_required")
+NORMALIZATION_STATUSES = ("provided_by_dataset", "provided_by_upstream", "simulated_governed")
 GOVERNANCE_STAGE = "post_normalization_packaging"
 
 ANCHOR = (

@@ -62,6 +62,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SPREAD_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables by Spark's own reader (the store may be one only Spark can open)."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores where their files make fewer tasks, as one row group does whatever it holds; larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < SPREAD_BYTES or size > cores * (128 << 20) or rows.rdd.getNumPartitions() >= cores:
+        return rows
+    return rows.repartition(cores)

@@ -16,6 +16,7 @@ def _blocks(rows: DataFrame, dataset: str, split: str) -> DataFrame:
         "doc_id", F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), F.col("doc_id").alias("source_doc_id"), "block_id", "type", "text",
         F.col("order").cast("int").alias("order"), "level", "title_path", "section_name", F.lit(None).cast("string").alias("asset_file") if "asset_file" not in rows.columns else F.col("asset_file"),
         F.coalesce("entity_tags", F.array().cast(_EMPTY)).alias("entity_tags") if "entity_tags" in rows.columns else F.array().cast(_EMPTY).alias("entity_tags"),
+        *(["parent_heading_id"] if "parent_heading_id" in rows.columns else []),
     )
 
 
@@ -26,13 +27,14 @@ def paper_blocks(papers: DataFrame, dataset: str = "papers", split: str = "train
     """papers: id, title, abstract, sections array<struct<name,paragraphs>>, figures array<struct<caption,file>>.
 
     Title, an Abstract heading and the abstract, then for each section headings for every
-    path prefix not met before and its paragraphs, then captions; one running order.
+    path prefix not met before and its paragraphs, then captions; one running order. A
+    block's parent is the heading of its path, a heading's that of the path above it.
     """
     doc = papers.withColumn("doc_id", T.safe_id("id"))
-    row = "struct<part:int,a:int,b:int,c:int,kind:string,text:string,level:int,path:array<string>,asset:string>"
+    row = "struct<part:int,a:int,b:int,c:int,kind:string,text:string,level:int,path:array<string>,asset:string,section:string>"
 
-    def item(part: int, a: Column, b: Column, c: Column, kind: Column, text: Column, level: Column, path: Column, asset: Column) -> Column:
-        return F.struct(F.lit(part), a, b, c, kind, text, level, path, asset).cast(row)
+    def item(part: int, a: Column, b: Column, c: Column, kind: Column, text: Column, level: Column, path: Column, asset: Column, name: Column | None = None) -> Column:
+        return F.struct(F.lit(part), a, b, c, kind, text, level, path, asset, F.lit(None).cast("string") if name is None else name).cast(row)
 
     zero, none, no_path = F.lit(0), F.lit(None).cast("string"), F.array().cast(_EMPTY)
     head = F.array(
@@ -47,8 +49,9 @@ def paper_blocks(papers: DataFrame, dataset: str = "papers", split: str = "train
             F.sequence(F.lit(1), F.size(path)),
             lambda d: item(2, i, zero, d, F.lit("heading"), F.element_at(path, d), d, F.slice(path, 1, d), none),
         )
-        bodies = F.transform(s["paragraphs"], lambda p, j: item(2, i, j + 1, zero, F.lit("paragraph"), T.normalize(p), F.size(path), path, none))
-        return F.concat(headings, bodies)
+        bodies = F.transform(s["paragraphs"], lambda p, j: item(2, i, j + 1, zero, F.lit("paragraph"), T.normalize(p), F.size(path), path, none, T.normalize(s["name"])))
+        # A section without a name has no headings and no place: it is left out.
+        return F.when(T.normalize(s["name"]) != "", F.concat(headings, bodies)).otherwise(F.slice(F.concat(headings, bodies), 1, 0))
 
     body = F.flatten(F.transform("sections", section))
     figures = F.transform(
@@ -62,8 +65,15 @@ def paper_blocks(papers: DataFrame, dataset: str = "papers", split: str = "train
     kept = each.withColumn("first", first).filter("kind <> 'heading' OR first = 1")
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "a", "b", "c"))
     numbered = kept.withColumn("order", order).withColumnsRenamed({"kind": "type", "path": "title_path", "asset": "asset_file"})
-    named = numbered.withColumns({"block_id": F.format_string("%s_%s_%05d", "doc_id", "type", "order"), "section_name": F.array_join("title_path", " / ")})
-    return _blocks(named, dataset, split)
+    # The section's name: fixed ones for title, abstract and captions, a heading's own path, and a section's name as it was given.
+    section = (
+        F.when(F.col("type") == "title", "Title").when(F.col("part") == 2, F.when(F.col("type") == "heading", F.array_join("title_path", " ::: ")).otherwise(F.col("section")))
+        .otherwise(F.array_join("title_path", " ::: "))
+    )
+    named = numbered.withColumns({"block_id": F.format_string("%s_%s_%05d", "doc_id", "type", "order"), "section_name": section})
+    above = F.when(F.col("type") == "heading", F.slice("title_path", 1, F.greatest(F.size("title_path") - 1, F.lit(0)))).when(F.col("part") < 3, F.col("title_path"))
+    heads = named.filter("type = 'heading'").select("doc_id", F.to_json("title_path").alias("_up"), F.col("block_id").alias("parent_heading_id"))
+    return _blocks(named.withColumn("_up", F.to_json(above)).join(heads, ["doc_id", "_up"], "left"), dataset, split)
 
 
 def paper_answer(a: Column) -> Column:
@@ -96,7 +106,7 @@ def paper_queries(papers: DataFrame) -> DataFrame:
 
 def fact_blocks(records: DataFrame, dataset: str = "facts", split: str = "train") -> DataFrame:
     """records: id, question, answer, context array<struct<title,sentences>>, facts array<struct<title,sentence>>: a sentence is a block under its article."""
-    each = records.select(T.safe_id("id").alias("doc_id"), F.posexplode("context").alias("i", "c")).select("doc_id", "i", F.col("c.title").alias("title"), F.posexplode("c.sentences").alias("j", "text"))
+    each = records.select(T.safe_id_or_hash("id").alias("doc_id"), F.posexplode("context").alias("i", "c")).select("doc_id", "i", F.col("c.title").alias("title"), F.posexplode("c.sentences").alias("j", "text"))
     full = each.filter(T.normalize("text") != "").withColumn("order", F.row_number().over(Window.partitionBy("doc_id").orderBy("i", "j")))
     tags = F.slice(F.array_distinct(F.concat(F.array("title"), T.entities("text"))), 1, 12)
     return _blocks(
@@ -111,7 +121,7 @@ def fact_blocks(records: DataFrame, dataset: str = "facts", split: str = "train"
 
 def fact_gold(records: DataFrame) -> DataFrame:
     """query_id, doc_id, gold_block_ids, n_missing, is_unanswerable: supporting facts met by (title, sentence)."""
-    doc = records.withColumn("doc_id", T.safe_id("id"))
+    doc = records.withColumn("doc_id", T.safe_id_or_hash("id"))
     where = doc.select("doc_id", F.posexplode("context").alias("i", "c")).select("doc_id", "i", F.col("c.title").alias("title"), F.posexplode("c.sentences").alias("j", "text"))
     held = where.filter(T.normalize("text") != "").select("doc_id", "title", F.col("j").alias("sentence"), F.format_string("%s_c%02d_s%03d", "doc_id", F.col("i") + 1, F.col("j") + 1).alias("block_id"))
     facts = doc.select("doc_id", F.posexplode("facts").alias("p", "f")).select("doc_id", "p", "f.title", "f.sentence")
@@ -126,7 +136,7 @@ def fact_gold(records: DataFrame) -> DataFrame:
 
 def candidate_blocks(records: DataFrame, dataset: str = "candidates", split: str = "dev") -> DataFrame:
     """records: question_id, question, answers, answer_docs, documents array<struct<title,paragraphs,segmented_title,is_selected,most_related_para>>."""
-    each = records.select(T.safe_id("question_id").alias("doc_id"), F.posexplode("documents").alias("i", "d")).select("doc_id", "i", "d", F.posexplode("d.paragraphs").alias("j", "text"))
+    each = records.select(T.safe_id_or_hash("question_id").alias("doc_id"), F.posexplode("documents").alias("i", "d")).select("doc_id", "i", "d", F.posexplode("d.paragraphs").alias("j", "text"))
     full = each.filter(T.normalize("text") != "").withColumn("order", F.row_number().over(Window.partitionBy("doc_id").orderBy("i", "j")))
     title = F.concat(F.lit("候选文档"), (F.col("i") + 1).cast("string"), F.lit(": "), T.normalize("d.title"))
     tags = F.filter(F.slice("d.segmented_title", 1, 8), lambda t: ~t.isin("_", "-", "|", "") & t.isNotNull())
@@ -142,7 +152,7 @@ def candidate_blocks(records: DataFrame, dataset: str = "candidates", split: str
 
 def candidate_gold(records: DataFrame) -> DataFrame:
     """query_id, gold_block_ids, answer: the most related paragraph of selected documents, else of the answer's documents."""
-    doc = records.withColumn("doc_id", T.safe_id("question_id"))
+    doc = records.withColumn("doc_id", T.safe_id_or_hash("question_id"))
 
     def of(keep) -> Column:
         named = F.transform("documents", lambda d, i: F.when(keep(d, i) & (T.normalize(F.get(d["paragraphs"], d["most_related_para"])) != ""), F.format_string("%s_d%02d_p%03d", F.col("doc_id"), i + 1, d["most_related_para"] + 1)))

@@ -1,12 +1,15 @@
 """Hand-worked cases of evaluation, fusion, evidence, adapters, sources and the service functions."""
 
+import functools
 import json
+import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgrain.operators import enrichment, evaluation, evidence, fusion, quality
+from loomgrain.operators import bm25, dense, enrichment, evaluation, evidence, fusion, quality
 from loomgrain.plans import api
 from loomgrain.sources import adapters
 from loomgrain.sources import io as S
@@ -36,17 +39,88 @@ def test_min_max_and_fusion(spark):
     s = spark.createDataFrame([(1, "a", 2.0), (1, "b", 4.0), (1, "c", 6.0), (2, "a", 3.0), (2, "b", 3.0)], "q int, d string, score double")
     got = {(r.q, r.d): r.x for r in fusion.min_max(s, "q", "score", "x").collect()}
     assert got == {(1, "a"): 0.0, (1, "b"): 0.5, (1, "c"): 1.0, (2, "a"): 0.0, (2, "b"): 0.0}
-    fused = {(r.q, r.d): r.score for r in fusion.fuse(s.filter("d <> 'a'"), s.filter("d <> 'c'"), "q", "d").collect()}
-    assert fused[(1, "c")] == 0.55 and fused[(1, "b")] == 0.45 and fused[(1, "a")] == 0.0
+    total = lambda n: spark.createDataFrame([(n,)], "n long")
+    fuse = lambda n: {(r.q, r.d): r.score for r in fusion.fuse(s.filter("d <> 'a'"), s.filter("d <> 'c'"), "q", "d", total(n)).collect()}
+    two = fuse(2)  # both candidates have a score on each side
+    assert two[(1, "c")] == 0.55 and two[(1, "b")] == 0.45
+    three = fuse(3)  # the third has 0 there, and that is the least score
+    assert (three[(1, "a")], three[(1, "b")], three[(1, "c")]) == (0.225, 0.816667, 0.55)
     with pytest.raises(ValueError):
-        fusion.fuse(s, s, "q", "d", 1.5)
+        fusion.fuse(s, s, "q", "d", total(3), 1.5)
+
+
+def test_full_ranking_by_hand(spark):
+    """A relevant unit at place 12, one without a score, one behind it by place, a query without tokens, and ties."""
+    units = spark.createDataFrame([(i, [f"b{i}"]) for i in range(1, 21)] + [(30, ["b12", "b30"])], "unit long, blocks array<string>")
+    scored = spark.createDataFrame(
+        [("far", i, 20.0 - i) for i in range(1, 13)] + [("tie", i, 1.0) for i in (4, 2, 9)] + [("none", 3, 2.0), ("none", 1, 1.0), ("few", 5, 1.0)], "query_id string, unit long, score double"
+    )
+    gold = spark.createDataFrame([("far", "b12"), ("tie", "b9"), ("none", "b6"), ("few", "b5"), ("few", "b2"), ("mute", "b1")], "query_id string, block_id string")
+    asked = spark.createDataFrame([("far",), ("tie",), ("none",), ("few",)], "query_id string")
+    got = {r.query_id: r for r in evaluation.full_ranking(scored, asked, units, gold).collect()}
+    assert {q: r.first_relevant_rank for q, r in got.items()} == {"far": 12, "tie": 3, "none": 6, "few": 1, "mute": 0}
+    assert got["far"].reciprocal_rank == pytest.approx(1 / 12) and got["far"].ndcg == 0 and got["mute"].recall_5 == 0
+    assert got["few"].recall_5 == 1 and got["few"].hit_1 == 1 and got["few"].full_3 == 1  # unit 2 comes third: 5, then 1 and 2 without a score
+    assert got["few"].ndcg == pytest.approx((1 + 0.5) / (1 + 1 / 1.5849625007), abs=1e-6)
+    s = evaluation.summary(spark.createDataFrame(got.values()).withColumns({"strategy": F.lit("s"), "retriever": F.lit("r")})).first()
+    assert s.queries == 5 and s.mrr == pytest.approx((1 / 12 + 1 / 3 + 1 / 6 + 1) / 5, abs=1e-6)
+
+
+def test_all_candidates_are_ranked(spark):
+    scored = spark.createDataFrame([("q", 7, 1.0), ("q", 3, -0.5), ("p", 1, 2.0), ("p", 2, 1.0), ("p", 3, 1.0)], "q string, d int, score double")
+    out = bm25.top_k_of_all(scored, spark.createDataFrame([("q",), ("p",), ("r",)], "q string"), spark.range(1, 9).select(F.col("id").cast("int").alias("d")), "q", "d", 3)
+    got = sorted((r.q, r["rank"], r.d, r.score) for r in out.collect())
+    assert got == [("p", 1, 1, 2.0), ("p", 2, 2, 1.0), ("p", 3, 3, 1.0), ("q", 1, 7, 1.0), ("q", 2, 1, 0.0), ("q", 3, 2, 0.0), ("r", 1, 1, 0.0), ("r", 2, 2, 0.0), ("r", 3, 3, 0.0)]
+
+
+def test_dense_encoder_against_numpy(spark):
+    r = random.Random(3)
+    topics = [[f"{t}{i}" for i in range(12)] for t in "abc"]
+    docs = [(i, [r.choice(topics[i % 3]) for _ in range(20)] + (["all"] if i % 2 else [])) for i in range(60)] + [(99, [])]
+    asked = [("x", ["a1", "a2", "unseen"]), ("y", ["b3"]), ("z", ["unseen"])]
+    corpus, queries = spark.createDataFrame(docs, "d int, tokens array<string>"), spark.createDataFrame(asked, "q string, tokens array<string>")
+    terms = sorted({t for _, ts in docs for t in ts})
+    df = [sum(t in ts for _, ts in docs) for t in terms]
+    idf = np.log((1 + len(docs)) / (1 + np.array(df))) + 1
+    raw = lambda ts: np.array([ts.count(t) for t in terms]) * idf
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
+    x = unit(np.stack([raw(ts) for _, ts in docs]))
+    v = np.linalg.svd(x)[2][:3].T
+    want = unit(unit(np.stack([raw(ts) for _, ts in asked])) @ v) @ unit(x @ v).T
+    got = {(s.q, s.d): s.score for s in dense.search(corpus.repartition(40), queries, "d", "q", functools.partial(dense.tfidf_svd, dims=3)).collect()}
+    for i, (q, _) in enumerate(asked):
+        for j, (d, _) in enumerate(docs):
+            assert got[q, d] == pytest.approx(want[i, j], abs=2e-3)
+    small = dense.search(corpus.filter("d < 2"), queries, "d", "q").collect()
+    assert len(small) == 6
+
+
+def test_profiles_and_presets(spark):
+    rows = spark.createDataFrame([("中文文本测试 and BM25",)], "text string")
+    assert api.preset("zh_cjk", alpha=0.3) == {"profile": "cjk_2_4gram", "alpha": 0.3} and api.preset("default") == {}
+    with pytest.raises(ValueError):
+        api.preset("nope")
+    found = bm25.T.with_tokens(rows, "jieba").first().tokens
+    assert {"中文", "文本", "测试", "bm25"} <= set(found) and "and" not in found  # by the segmenter, or by bigrams without it
+    chunks = spark.createDataFrame([("c1", "d", "中文检索评测", ["b1"]), ("c2", "d", "完全无关", ["b2"])], "chunk_id string, doc_id string, text string, source_blocks array<string>")
+    asked = spark.createDataFrame([("q", "d", "检索评测", ["b1"], False)], "query_id string, doc_id string, question string, gold array<string>, is_unanswerable boolean")
+    out = api.retrieve(asked, chunks, "bm25", idf="plus_one", **api.preset("zh_cjk")).orderBy("rank").collect()
+    assert [(r.chunk_id, r.score > 0) for r in out] == [("c1", True), ("c2", False)]
+    m = api.metrics(asked, chunks, "fixed", idf="plus_one", **api.preset("zh_cjk")).first()
+    assert (m.mrr, m.chunks, m.search_scope, m.index_fields, m.unanswerable, m.no_gold) == (1.0, 2, "same_doc", "text", 0, 0)
 
 
 def test_evidence_by_hand(spark):
     e = spark.createDataFrame([("q", "d", 0, "A b  c")], "query_id string, doc_id string, place int, text string")
-    b = spark.createDataFrame([("d", "1", 1, "x a b c y"), ("d", "2", 2, "q r")], "doc_id string, block_id string, `order` int, text string")
+    block = "doc_id string, block_id string, `order` int, type string, text string"
+    b = spark.createDataFrame([("d", "1", 1, "paragraph", "x a b c y"), ("d", "2", 2, "paragraph", "q r"), ("d", "0", 0, "heading", "a b c")], block)
     r = evidence.match(e, b).first()
-    assert (r.block_id, r.score, r.method) == ("1", 1.0, "block_contains")
+    assert (r.block_id, r.score, r.method, r.block_type) == ("1", 1.0, "substring", "paragraph")
+    # A block within the evidence leads, then overlap raises the score: the method stays the earlier one's. Others stay unmatched or empty.
+    e = spark.createDataFrame([("q", "d", 0, "a b c d e f g"), ("q", "d", 1, "nothing like it"), ("q", "d", 2, " "), ("q", "x", 3, "a")], "query_id string, doc_id string, place int, text string")
+    b = spark.createDataFrame([("d", "1", 1, "table", "a b"), ("d", "2", 2, "table", "g f e d c b a")], block)
+    got = {r.place: (r.block_id, r.score, r.method) for r in evidence.match(e, b).collect()}
+    assert got == {0: ("2", 1.0, "block_in_evidence"), 1: (None, 0.0, "unmatched"), 2: (None, 0.0, "empty"), 3: (None, 0.0, "unmatched")}
     docs = spark.createDataFrame([(1, "so say we ALL of us"), (2, "all of it is here to be seen by us now ok")], "doc_id int, text string")
     items = spark.createDataFrame([(1, "we all"), (2, "of it is  here to be seen by u")], "item_id int, text string")
     assert {tuple(r) for r in evidence.containment(items, docs).collect()} == {(1, 1), (2, 2)}
@@ -123,7 +197,7 @@ def test_quality_by_hand(spark):
     assert (s.completed, s.average, s.least, s.greatest) == (2, 3.25, 2.0, 4.5)
     d = spark.createDataFrame([("t", "r", None, 20.0), ("u", "r", 11.0, 12.0)], "strategy string, retriever string, r_recall_5 double, r_ndcg_5 double")
     assert {r.strategy: r.passed for r in quality.uplift_ok(d).collect()} == {"t": False, "u": True}
-    docs = spark.createDataFrame([("a", "not_required", "post_normalization_packaging", [1]), ("b", "?", None, [])], "doc_id string, normalization_status string, governance_stage string, blocks array<int>")
+    docs = spark.createDataFrame([("a", "simulated_governed", "post_normalization_packaging", [1]), ("b", "?", None, [])], "doc_id string, normalization_status string, governance_stage string, blocks array<int>")
     assert sorted(r.error for r in quality.document_errors(docs).collect()) == ["bad_stage", "bad_status", "no_blocks"]
 
 
