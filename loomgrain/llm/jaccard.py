@@ -206,7 +206,9 @@ def _packed(text: str, parts: int, ranges: int, held):
             route = -1 - int(_buckets(np.array([gid]), parts)[0])
             yield _blobs([(route, np.array([(gid, len(found))], _RUN), found, docs.tobytes())])
             packed = np.sort(packed)
-            yield _blobs(_by_route(_ranges(packed >> np.uint64(16), ranges), np.full(len(packed), gid), packed))
+            part = _ranges(packed >> np.uint64(16), ranges)  # in order, as packed is
+            cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+            yield _blobs([(int(part[a]), np.array([(gid, b - a)], _RUN), packed[a:b], None) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a])
 
     return run
 
@@ -502,7 +504,7 @@ def classified(rows: DataFrame, key: str = "doc_id", text: str = "text", thresho
         single = slim.join(F.broadcast(copies), "id", "left_anti")
     else:  # sorted, as groups must come out alike when a task runs again
         single = slim.filter("id IS NULL").unionByName(slim.join(reps, "id", "left_semi")).sortWithinPartitions("id", "text")
-    parts, buckets = max(1, -(-total // RANGE)), max(1, -(-total // (4 * RANGE)))
+    parts = buckets = max(1, -(-total // RANGE))
     blobs = arrow_map(single, _packed("text", parts, min(parts, FAN), held), _BLOB)
     blobs = _exchange(blobs, parts, total, back=False)
     shared = blobs.groupBy("route").applyInArrow(_counted(min(buckets, FAN)), _BLOB)
