@@ -39,14 +39,13 @@ def test_min_max_and_fusion(spark):
     s = spark.createDataFrame([(1, "a", 2.0), (1, "b", 4.0), (1, "c", 6.0), (2, "a", 3.0), (2, "b", 3.0)], "q int, d string, score double")
     got = {(r.q, r.d): r.x for r in fusion.min_max(s, "q", "score", "x").collect()}
     assert got == {(1, "a"): 0.0, (1, "b"): 0.5, (1, "c"): 1.0, (2, "a"): 0.0, (2, "b"): 0.0}
-    total = lambda n: spark.createDataFrame([(n,)], "n long")
-    fuse = lambda n: {(r.q, r.d): r.score for r in fusion.fuse(s.filter("d <> 'a'"), s.filter("d <> 'c'"), "q", "d", total(n)).collect()}
-    two = fuse(2)  # both candidates have a score on each side
-    assert two[(1, "c")] == 0.55 and two[(1, "b")] == 0.45
-    three = fuse(3)  # the third has 0 there, and that is the least score
-    assert (three[(1, "a")], three[(1, "b")], three[(1, "c")]) == (0.225, 0.816667, 0.55)
+    total = spark.createDataFrame([(3,)], "n long")
+    fuse = lambda x, y: {(r.q, r.d): r.score for r in fusion.fuse(x, y, "q", "d", total).collect() if r.q == 1}
+    assert fuse(s, s) == {(1, "a"): 0.0, (1, "b"): 0.5, (1, "c"): 1.0}  # all three have a score on each side
+    # One has no score on a side: it has 0 there, which is the least.
+    assert fuse(s.filter("d <> 'a'"), s.filter("d <> 'c'")) == {(1, "a"): 0.225, (1, "b"): 0.816667, (1, "c"): 0.55}
     with pytest.raises(ValueError):
-        fusion.fuse(s, s, "q", "d", total(3), 1.5)
+        fusion.fuse(s, s, "q", "d", total, 1.5)
 
 
 def test_full_ranking_by_hand(spark):
@@ -147,6 +146,10 @@ def test_paper_adapter(spark):
     assert [(r.type, r.text) for r in rows] == [
         ("title", "Title"), ("heading", "Abstract"), ("abstract", "Abs."), ("heading", "A"), ("heading", "B"), ("paragraph", "one"), ("heading", "C"), ("paragraph", "two"), ("table", "Table 1: t"),
     ]
+    by_id = {r.block_id: r for r in rows}
+    above = [by_id[r.parent_heading_id].text if r.parent_heading_id else None for r in rows]
+    assert above == [None, None, "Abstract", None, "A", "B", "A", "C", None]
+    assert [r.section_name for r in rows] == ["Title", "Abstract", "Abstract", "A", "A ::: B", "A ::: B", "A ::: C", "A ::: C", "Figures and Tables"]
     assert rows[0].block_id == "p_1_title_00001" and rows[-1].asset_file == "f.png" and rows[5].title_path == ["A", "B"]
     q = {r.query_id: r for r in adapters.paper_queries(paper).collect()}
     assert (q["q1"].answer, q["q1"].gold_evidence_texts, q["q1"].answer_type) == ("Free | s1 | s2", ["e1", "e2"], "extractive")
@@ -189,6 +192,137 @@ def test_sources_round_trip(spark, tmp_path):
     assert S.literal_cell("__import__('os')")[1] and S.literal_cell("nan") == (None, None)
 
 
+def test_zip_readers(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("train.csv", 'id,title\n1,"a, ""b"""\n2,"two\nlines"\n')
+        z.writestr("dev.csv", "id,title\n")
+    assert S.zip_splits(spark, f"{tmp_path}/p.zip") == ["dev", "train"]
+    rows = S.read_zip_csv(spark, f"{tmp_path}/p.zip", "train", ["id", "title", "none"]).orderBy("place").collect()
+    assert [(r.id, r.title, r.none) for r in rows] == [("1", 'a, "b"', None), ("2", "two\nlines", None)]
+    assert S.read_zip_csv(spark, f"{tmp_path}/p.zip", "train", ["id"], 1).count() == 1 and S.read_zip_csv(spark, f"{tmp_path}/p.zip", "dev", ["id"]).count() == 0
+    with pytest.raises(ValueError, match="dev, train"):
+        S.read_zip_csv(spark, f"{tmp_path}/p.zip", "test", ["id"])
+    records = [{"k": i, "t": "é" * 3000} for i in range(60)]
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("m.json", json.dumps(records, ensure_ascii=False))
+    found = S.read_zip_array(spark, f"{tmp_path}/a.zip").orderBy("place").collect()
+    assert [json.loads(r.value) for r in found] == records
+    assert S.read_zip_array(spark, f"{tmp_path}/a.zip", limit=7).count() == 7
+    for text, want in (("[1, 23 , -4.5]", ["1", "23", "-4.5"]), (' [ {"a": [1]}\n, "x"]', ['{"a": [1]}', '"x"']), ("[]", [])):
+        with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+            z.writestr("m.json", text)
+        assert [r.value for r in S.read_zip_array(spark, f"{tmp_path}/b.zip").orderBy("place").collect()] == want
+    with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
+        z.writestr(S.candidate_member("search", "dev"), "{}\n{}\n")
+    assert S.read_candidates(spark, f"{tmp_path}/c.zip").count() == 2
+    for bad in (("web", "dev"), ("search", "all")):
+        with pytest.raises(ValueError):
+            S.candidate_member(*bad)
+
+
+def test_sinks(spark, tmp_path):
+    blocks = adapters.markdown_blocks(spark.createDataFrame([("m", "# Alpha\nred fox | runs\n# Beta\nblue whale")], "doc_id string, text string"))
+    chunks = api.chunk(blocks, "fixed")
+    S.write_chunk_set(chunks, f"{tmp_path}/set")
+    assert S.read_report(spark, f"{tmp_path}/set/chunk_report_fixed.json")["quality_flag_counts"]["fixed_window_baseline"] == 1
+    assert len(S.read_report(spark, f"{tmp_path}/set/chunking_summary.json")["reports"]) == 1 and spark.read.parquet(f"{tmp_path}/set/chunks").count() == 1
+    S.write_manual_csv(chunks, f"{tmp_path}/manual")
+    rows = S.read_csv(spark, f"{tmp_path}/manual")
+    assert rows.columns == S.MANUAL_COLUMNS and rows.first().tags.startswith("alpha | beta") and rows.first().evaluator is None
+    queries = spark.createDataFrame([("q", "m", ["b1"], {"k": "v"})], "query_id string, doc_id string, gold_block_ids array<string>, metadata map<string,string>")
+    S.write_queries_csv(queries, f"{tmp_path}/queries")
+    back = S.read_csv(spark, f"{tmp_path}/queries")
+    assert back.columns == S.QUERY_COLUMNS and json.loads(back.first().gold_block_ids) == ["b1"] and json.loads(back.first().metadata) == {"k": "v"}
+    per = spark.createDataFrame([(s, "bm25", "q", 1, 1.0, 1.0, *[x] * 3, *[1] * 6) for s, x in (("fixed", 0.5), ("structure", 1.0))],
+                                "strategy string, retriever string, query_id string, first_relevant_rank long, reciprocal_rank double, ndcg double, recall_1 double, recall_3 double, recall_5 double,"
+                                " hit_1 int, hit_3 int, hit_5 int, full_1 int, full_3 int, full_5 int")
+    S.write_evaluation(per, f"{tmp_path}/eval")
+    whole = S.read_report(spark, f"{tmp_path}/eval/retrieval_eval_bm25_summary.json")
+    assert whole["best_by_metric"]["recall_5"][0] == {"strategy": "structure", "retriever": "bm25", "value": 1.0} and whole["comparisons"][0]["r_recall_5"] == 100.0
+    assert S.read_report(spark, f"{tmp_path}/eval/retrieval_eval_fixed_bm25.json")["queries"] == 1
+    text = S.markdown_report("T", {"a|b": ["x", "y"]}, [{"n": 1, "m": "p|q\nr"}], ("note",))
+    assert text == "# T\n\n- a|b: `x, y`\n\n| n | m |\n|---|---|\n| 1 | p\\|q r |\n\n- note\n"
+    S.write_markdown("T", {}, chunks.select("chunk_id"), f"{tmp_path}/md")
+    assert "m_fixed_chunk_00001" in "".join(r.value for r in spark.read.text(f"{tmp_path}/md").collect())
+    doc = {"doc_id": "d", "blocks": [{"block_id": "b1", "type": "paragraph", "text": "t"}], "queries": [{"query_id": "q", "gold_block_ids": ["b1"]}]}
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    S.write_conversion(S.read_documents(spark, f"{tmp_path}/d.json"), queries, chunks.agg(F.count("*").alias("n")), f"{tmp_path}/conv")
+    assert spark.read.json(f"{tmp_path}/conv/blocks.jsonl").first().block_id == "b1" and S.read_report(spark, f"{tmp_path}/conv/conversion_report.json") == {"n": 1}
+    assert S.read_csv(spark, f"{tmp_path}/conv/queries.csv").first().query_id == "q"
+
+
+def test_validation_by_hand(spark):
+    anchor = "struct<dataset:string,source_doc_id:string,first_block_id:string,last_block_id:string,block_count:int,sections:array<string>>"
+    full = ("s", "s", "b1", "b1", 1, [])
+    chunks = spark.createDataFrame(
+        [("c1", "text", ["b1"], full, ["length_ok"], 9), ("c2", "", ["b2", "x"], full, [], 90), ("c3", "t", [], None, ["f"], 5)],
+        f"chunk_id string, text string, source_blocks array<string>, source_anchor {anchor}, quality_flags array<string>, token_count int",
+    )
+    blocks = spark.createDataFrame([("b1", "d", "d", "table", []), ("b2", "d", "d", "paragraph", ["T"]), ("b3", "e", None, "heading", [])], "block_id string, doc_id string, source_doc_id string, type string, title_path array<string>")
+    errors = sorted((r.chunk_id, r.error) for r in quality.chunk_errors(chunks, blocks).collect())
+    assert errors == [("c2", "empty_text"), ("c2", "unknown_block"), ("c3", "no_anchor"), ("c3", "no_source_blocks")]
+    assert sorted((r.chunk_id, r.warning) for r in quality.chunk_warnings(chunks, 50).collect()) == [("c2", "no_quality_flags"), ("c2", "over_max_tokens")]
+    v = quality.chunk_validation(chunks, blocks, 50).first()
+    assert (v.chunks, v.min_tokens, v.max_tokens, v.avg_tokens, v.errors, v.warnings, v.status) == (3, 5, 90, 34.67, 4, 2, "failed")
+    assert quality.chunk_validation(chunks.filter("chunk_id = 'c1'")).first().status == "passed"
+    docs = spark.createDataFrame([("d", "provided_by_dataset", "post_normalization_packaging", [1])], "doc_id string, normalization_status string, governance_stage string, blocks array<int>")
+    gold = spark.createDataFrame([("q", "d", ["b1", "nope"]), ("p", "z", [])], "query_id string, doc_id string, gold_block_ids array<string>")
+    found = sorted((r.id, r.error) for r in quality.governed_errors(docs, blocks, gold).collect())
+    assert found == [("b3", "no_anchor"), ("b3", "unknown_document"), ("p", "unknown_document"), ("q", "unknown_gold_block")]
+    assert [r.id for r in quality.governed_warnings(blocks).collect()] == ["b1"]
+    none = quality.governed_validation(docs, blocks.limit(0), gold.limit(0), gold.limit(0), spark.createDataFrame([], "block_id string")).first()
+    assert none.evidence_match_rate is None and none.status == "passed"
+    assert [(r.type, r.n) for r in quality.protected_types(blocks).collect()] == [("table", 1)]
+
+
+def test_acceptance_by_hand(spark):
+    rates = spark.createDataFrame([(100.0, 99.0, 100.0, 90.0, 95.0)], "field_rate double, anchor_rate double, unbroken_rate double, length_rate double, protected_rate double")
+    read = lambda df: {r.metric: r.verdict for r in df.collect()}
+    alone = read(quality.acceptance_report(rates))
+    assert alone == {"field_rate": "passed", "anchor_rate": "failed", "unbroken_rate": "passed", "length_rate": "passed", "protected_rate": "passed", "retrieval_uplift": "pending", "boundary_coverage": "pending", "manual_evaluation": "pending"}
+    delta = spark.createDataFrame([(12.0, None)], "r_recall_5 double, r_ndcg_5 double")
+    scores = spark.createDataFrame([("4", " 5 ")] * 20 + [("9", "4"), ("x", "4")], "semantic_integrity_score string, tag_summary_score string")
+    whole = read(quality.acceptance_report(rates, delta, spark.createDataFrame([(0.8,)], "coverage double"), quality.manual_pairs(scores)))
+    assert (whole["retrieval_uplift"], whole["boundary_coverage"], whole["semantic_integrity_score"]) == ("failed", "passed", "passed")
+    few = quality.manual_verdicts(quality.manual_pairs(scores.limit(19)))
+    assert {r.verdict for r in few.collect()} == {"too_few"}
+
+
+def test_provider_answers(spark):
+    blocks = adapters.markdown_blocks(spark.createDataFrame([("m", "# Alpha\nred fox runs fast")], "doc_id string, text string"))
+    raw = {"summary": " S  x ", "topic_tags": "a, A ,b", "entity_tags": ["E", "e", "F"], "semantic_integrity_score": 9, "tag_accuracy_score": "bad", "faithfulness_risk": "none",
+           "qa_pairs": [{"question": "q?", "answer": "yes", "faithfulness_score": "4.256"}, {"question": "r", "answerability": "odd"}] + [{"question": "x"}] * 3}
+    chunks = api.chunk(blocks, "fixed")
+    before = enrichment.enrich(chunks).first().enrichment
+    e = enrichment.provided(chunks, lambda c: c.withColumn("answer", F.lit("```json\n" + json.dumps(raw) + "\n```")), "model").first().enrichment
+    assert (e.provider, e.summary, e.topic_tags, e.entity_tags, e.integrity, e.tag_accuracy, e.risk) == ("model", "S x", ["a", "b"], ["E", "F"], 5.0, before.tag_accuracy, before.risk)
+    assert [(p.question, p.answer, p.answerability, p.faithfulness_score) for p in e.qa_pairs] == [("q?", "yes", "answerable", 4.26), ("r", "", "unanswerable", 4.5), ("x", "", "unanswerable", 4.5)]
+    assert e.qa_pairs[0].instruction == "Answer using only the provided chunk."
+    assert enrichment.provided(chunks, lambda c: c.withColumn("answer", F.lit("no json")), "model").first().enrichment == before
+
+
+def test_routing(spark):
+    assert api.route("build a large model corpus", 2) == "enrich" and api.route("请生成摘要", 1) == "enrich" and api.route("split these", 3) == "chunk_batch"
+    assert api.wants_questions("生成问答") and api.wants_questions("instruction data") and not api.wants_questions("chunk it")
+
+
+def test_read_model_and_paths(spark, tmp_path):
+    made = []
+    model = api.ReadModel(rows=lambda: made.append(1) or spark.range(3))
+    assert model["rows"].count() == 3 and model["rows"].count() == 3 and made == [1]
+    model.refresh()
+    assert model["rows"].count() == 3 and made == [1, 1]
+    model.refresh()
+    with pytest.raises(KeyError):
+        model["nope"]
+    (tmp_path / "note one.md").write_text("# H\nsome body text")
+    out = api.run_path(spark, f"{tmp_path}/note one.md", f"{tmp_path}/out", strategies=("fixed",))
+    assert out["summary"].first().chunks == 1 and S.read_report(spark, f"{tmp_path}/out/chunks_fixed/chunking_summary.json")["reports"][0]["strategy"] == "fixed"
+    chunks = {"fixed": out["chunks_fixed"]}
+    asked = spark.createDataFrame([("q", "x", "body text", ["b"])], "query_id string, doc_id string, question string, gold array<string>")
+    assert api.compare(asked, chunks, "q", idf="plus_one").count() == 1 and api.compare(asked, chunks, "other").count() == 0
+
+
 def test_quality_by_hand(spark):
     rows = spark.createDataFrame([(i,) for i in range(5)], "k int")
     assert sorted(r.place for r in quality.even_sample(rows, "k", 3).collect()) == [0, 2, 4]
