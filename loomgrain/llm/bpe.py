@@ -12,8 +12,8 @@ keeps a bounded dictionary of words it has encoded.
 
 Defined cases: null text is encoded as empty (0 tokens, hashes of nothing, decoded text
 empty); texts of any length are whole; an empty table gives no rows; repeated rows each
-get their result; special tokens' strings in a text become their ids, as the library
-does; other columns pass through, and columns named like the results are replaced.
+get their result; special tokens' strings in a text become their ids, the longest
+first, as the library does; other columns pass through, and columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -66,7 +66,25 @@ def load(spark: SparkSession, path: str) -> Tables:
     return tables(json.loads(raw))
 
 
+def _unhandled(spec: dict) -> list[str]:
+    """Settings of a tokenizer file that this encoder does not follow."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    found = [name for name in ("normalizer",) if spec.get(name)]
+    if model.get("type", "BPE") != "BPE":
+        found.append("model.type")
+    found += [f"model.{n}" for n in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(n)]
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        found.append("pre_tokenizer")
+    if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        found.append("decoder")
+    found += [f"added_tokens.{n}" for n in ("single_word", "lstrip", "rstrip") if any(t.get(n) for t in spec.get("added_tokens") or [])]
+    return found
+
+
 def tables(spec: dict) -> Tables:
+    """The tables of a byte-level BPE file; one with settings that would change results is an error."""
+    if unhandled := _unhandled(spec):
+        raise ValueError(f"not a plain byte-level BPE file: {', '.join(unhandled)}")
     vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
     special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
     out = [b""] * (max([*vocab.values(), *special.values()]) + 1)
@@ -141,7 +159,7 @@ class Codec:
     def __init__(self, t: Tables):
         self.t, self.words = t, _Words(t)
         self.split = regex.compile(PATTERN).findall
-        self.specials = regex.compile("|".join(f"({regex.escape(s)})" for s in t.special)) if t.special else None
+        self.specials = regex.compile("|".join(regex.escape(s) for s in sorted(t.special, key=len, reverse=True))) if t.special else None
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""

@@ -2,6 +2,7 @@ import hashlib
 import json
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -65,3 +66,23 @@ def test_documents_round_trip(spark, sf, codec):
     for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect():
         want = LIBRARY.encode(r.text, add_special_tokens=False).ids
         assert ids_of(codec, r.text) == want and codec.decode(codec.encode(r.text)) == r.text
+
+
+def test_settings_that_are_not_followed_are_refused(spark):
+    with open(PATH) as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"model": spec["model"] | {"ignore_merges": True}}, {"decoder": None}):
+        with pytest.raises(ValueError):
+            bpe.tables(spec | change)
+    with pytest.raises(ValueError):
+        bpe.tables(spec | {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]})
+
+
+def test_longest_special_token_wins():
+    with open(PATH) as f:
+        spec = json.load(f)
+    first = spec["added_tokens"][0]
+    spec["added_tokens"] = [first, first | {"id": 50257, "content": "<|x"}, first | {"id": 50258, "content": "<|x|>"}]
+    codec, library = bpe.Codec(bpe.tables(spec)), Tokenizer.from_str(json.dumps(spec))
+    for text in ("a<|x|>b", "<|x <|x|", "<|endoftext|><|x|>x"):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

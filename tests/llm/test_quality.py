@@ -1,9 +1,19 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from loomgrain.llm import quality
 from loomgrain.llm.entry import op3_quality
+from loomgrain.llm.langid import fold
+
+
+def quality_fold(key):
+    return fold(key, 4)
 
 
 def test_held_out_accuracy(spark):
@@ -36,6 +46,64 @@ def test_features_by_hand():
     assert not x[1:].any()
 
 
+def plain_features(text):
+    """FEATURES of one text by plain Python."""
+    raw = (text or "").encode()
+    lowered = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    words = [w for w in re.split(rb"[ \t-\r]+", lowered) if w]
+    lines = [x for x in raw.split(b"\n") if x]
+    of = lambda test: sum(map(test, raw)) / max(len(raw), 1)
+    inside = lambda chars: lambda b: b in chars
+    some, pairs = max(len(words), 1), list(zip(words, words[1:]))
+    counts = Counter(words)
+    shares = [of(lambda b: 65 <= b <= 90), of(lambda b: 97 <= b <= 122), of(lambda b: 48 <= b <= 57), of(lambda b: b >= 128)]
+    shares += [of(inside(c)) for c in (b"!.?", b"!", b",;", b"#$%&*+<=>@^_`~", b"|", b"\"'()[\\]{}", b"-/:\\")]
+    return shares + [
+        math.log1p(len(raw)), math.log1p(len(words)), sum(map(len, words)) / some, math.log1p(len(lines)), math.log1p(len(raw) / max(len(lines), 1)), len(counts) / some,
+        sum(a == b for a, b in pairs) / some, len(set(lines)) / max(len(lines), 1) if words else 0.0, max(counts.values(), default=0) / some, sum(len(w) > 14 for w in words) / some,
+        sum(len(w) == 1 for w in words) / some, len(set(pairs)) / max(len(words) - 1, 1),
+    ]
+
+
+def test_every_score_by_brute_force(spark):
+    """The whole query against plain features, and a loop over the model's tables."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    x = quality.features(docs.select("doc_id", (quality_fold("doc_id") == 2).alias("held_out"), "text"))
+    model = quality.train(x.filter("NOT held_out"), spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id for r in x.filter("held_out").collect()} == {d for d in texts if zlib.crc32(str(d).encode()) % 4 == 2}
+    for r in op3_quality(spark, sf).collect():
+        f = plain_features(texts[r.doc_id])
+        total = model.intercept
+        for value, edges, table in zip(f, model.edges, model.tables, strict=True):
+            total += table[sum(e <= value + 1e-12 for e in edges)]
+        for (a, b), table in model.pairs.items():
+            total += table[sum(e <= f[a] + 1e-12 for e in model.pair_edges[a]), sum(e <= f[b] + 1e-12 for e in model.pair_edges[b])]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6) and r.predicted == (r.score >= 0.7)
+
+
+def test_trees_by_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        g, h = rng.normal(size=6), rng.random(6) * 4 + 0.1
+        gain = lambda i, j: g[i:j].sum() ** 2 / (h[i:j].sum() + 1)
+        cuts = [c for c in range(1, 6) if h[:c].sum() >= 1 and h[c:].sum() >= 1]
+        best = max(cuts, key=lambda c: gain(0, c) + gain(c, 6), default=None)
+        got = quality._tree(g, h, 1)
+        if best is not None and gain(0, best) + gain(best, 6) > gain(0, 6) + 1e-9:
+            assert np.allclose(got, [g[:best].sum() / (h[:best].sum() + 1)] * best + [g[best:].sum() / (h[best:].sum() + 1)] * (6 - best))
+        else:
+            assert np.allclose(got, g.sum() / (h.sum() + 1))
+        g2, h2 = rng.normal(size=(4, 5)), rng.random((4, 5))
+        part = lambda a, b, c, d: g2[a:b, c:d].sum() ** 2 / (h2[a:b, c:d].sum() + 1)
+        every = {(i, j): part(0, i, 0, j) + part(0, i, j, 5) + part(i, 4, 0, j) + part(i, 4, j, 5) for i in range(1, 4) for j in range(1, 5)}
+        i, j = max(every, key=every.get)
+        found, values = quality._quadrants(g2, h2)
+        assert found == pytest.approx(every[i, j] - part(0, 4, 0, 5))
+        assert found <= 0 or values[0, 0] == pytest.approx(g2[:i, :j].sum() / (h2[:i, :j].sum() + 1))
+
+
 def test_defined_cases(spark):
     rows = spark.createDataFrame([(1, None, 2), (None, "", 2), (3, "a" * 300_000, 2), (3, "b c", 2)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(3, 1), (3, 0), (9, 1), (None, 1)], "doc_id long, quality int")
