@@ -64,17 +64,18 @@ def relevant_units(units: DataFrame, gold: DataFrame) -> DataFrame:
     return each.join(gold.distinct(), "block_id").groupBy("query_id", "unit").agg(F.collect_set("block_id").alias("covered"))
 
 
-def full_ranking(scored: DataFrame, asked: DataFrame, units: DataFrame, gold: DataFrame, ks=KS, ndcg_k: int = 5) -> DataFrame:
+def full_ranking(scored: DataFrame, asked: DataFrame, units: DataFrame, gold: DataFrame, ks=KS, ndcg_k: int = 5, relevant: DataFrame | None = None) -> DataFrame:
     """One row for each query that has gold, over the whole ranking of all units.
 
     scored: query_id, unit, score of the pairs that share a term; every other unit has score
     0, ties go to the smaller unit, and a query without tokens (not in asked) has no hits.
+    relevant may be given as written relevant_units(), where several rankings share it.
     The first relevant rank is found by counting the units ahead of the best relevant one,
     so nothing is sorted but the few hits that the cut-offs ask for.
     """
     ks = check_ks(ks)
     scored = written(scored.select("query_id", "unit", F.round("score", 6).alias("score")), "scored")
-    relevant = written(relevant_units(units, gold), "relevant")
+    relevant = written(relevant_units(units, gold), "relevant") if relevant is None else relevant
     held = relevant.join(scored, ["query_id", "unit"], "left").join(asked.select("query_id").distinct(), "query_id")
     place = F.struct(F.coalesce("score", F.lit(0.0)).alias("s"), (-F.col("unit")).alias("u"))
     best = held.groupBy("query_id").agg(F.max(place).alias("b")).select("query_id", F.col("b.s").alias("s"), (-F.col("b.u")).alias("u"))

@@ -157,11 +157,13 @@ def query_comparison(spark, sf):
 
 
 def _per_query(spark, sf):
-    gold, asked, out = written(_gold(spark, sf), "gold"), _asked(spark, sf, "query_id").filter(F.size("tokens") > 0), []
+    gold, out = written(_gold(spark, sf), "gold"), []
+    asked = written(_asked(spark, sf, "query_id").filter(F.size("tokens") > 0), "asked")
     counted = bm25.counted(asked, "query_id")
     for strategy, (units, found) in _corpora(spark, sf).items():
+        relevant = written(evaluation.relevant_units(units, gold), "relevant")
         for retriever, score in RETRIEVERS.items():
-            rows = evaluation.full_ranking(score(counted, found, "query_id", "unit"), asked, units, gold)
+            rows = evaluation.full_ranking(score(counted, found, "query_id", "unit"), asked, units, gold, relevant=relevant)
             out.append(rows.withColumns({"strategy": F.lit(strategy), "retriever": F.lit(retriever)}))
     return written(functools.reduce(DataFrame.unionByName, out), "per-query")
 
