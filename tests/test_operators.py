@@ -356,3 +356,30 @@ def test_run_and_stream(spark, sf, tmp_path):
     query = stream_chunks(stream, adapters.markdown_blocks, f"{tmp_path}/out", f"{tmp_path}/cp", "fixed")
     query.awaitTermination()
     assert [r.text for r in spark.read.parquet(f"{tmp_path}/out").collect()] == ["body text"]
+
+
+def test_small_service_functions(spark):
+    rows = spark.createDataFrame([("q1", "Doc-A", "Where IS it"), ("q2", "b", None)], "query_id string, doc_id string, question string")
+    assert [r.query_id for r in api.search_text(rows, "is it").collect()] == ["q1"] and api.search_text(rows, "Q").count() == 2 and api.search_text(rows, "doc-a").count() == 1
+    metrics = spark.createDataFrame([("fixed", "bm25", *[0.5] * 5), ("structure", "bm25", *[0.7] * 5)], "strategy string, retriever string, recall_1 double, recall_3 double, recall_5 double, mrr double, ndcg_5 double")
+    shown = api.overview(spark.range(1), spark.range(2), metrics)
+    assert (len(shown["conversion"]), len(shown["chunking"]), len(shown["metrics"]), len(shown["best"])) == (1, 2, 2, 10)
+    assert next(r for r in shown["best"] if r["metric"] == "mrr" and r["place"] == 1)["strategy"] == "structure"
+    asked = spark.createDataFrame([(True, ["a"]), (False, []), (None, None), (False, ["b"])], "is_unanswerable boolean, gold array<string>")
+    s = evaluation.skip_reasons(asked).first()
+    assert (s.unanswerable, s.no_gold, evaluation.answerable(asked).count()) == (1, 2, 1)
+    scores = spark.createDataFrame([("9",), ("-1",), ("x",), (None,), ("3.14159",)], "v string").select(enrichment.clamp(F.col("v"), F.lit(2.5)).alias("s"))
+    assert [r.s for r in scores.collect()] == [5.0, 0.0, 2.5, 2.5, 3.14]
+    listed = spark.createDataFrame([('["a", " b ", ""]',), ('"x, y ,"',), ("7",), (None,)], "v string").select(enrichment.as_list(F.col("v")).alias("l"))
+    assert [r.l for r in listed.collect()] == [["a", "b"], ["x", "y"], ["7"], []]
+    ids = spark.createDataFrame([("p/1 x",), ("///",), (None,)], "v string").select(bm25.T.safe_id_or_hash("v").alias("i"))
+    assert [r.i for r in ids.collect()] == ["p_1_x", "da39a3ee5e6b", "da39a3ee5e6b"]
+
+
+def test_fold_text_rules():
+    from loomgrain.functions import folds
+
+    assert folds.join(["a", "b"]) == "a b" and folds.join(["中", "b"]) == "中b"
+    assert folds.windows("a b c d e", 2) == ["a b", "c d", "e"] and folds.windows("中文文本 ab", 3) == ["中文文", "本ab"]
+    assert folds.packed_sentences("a b. c d. e f g h i. j.", 4) == ["a b. c d.", "e f g h", "i.", "j."]
+    assert folds.packed_sentences("中文。文本。", 2) == ["中文。", "文本。"] and folds.packed_sentences("", 3) == []
