@@ -10,7 +10,8 @@ from loomgrain.plans import api, chunking, retrieval, views
 from loomgrain.plans import chunksql as C
 from loomgrain.plans import sqltext as S
 from loomgrain.schemas import GOVERNANCE_STAGE
-from loomgrain.session import table, written
+from loomgrain.session import dealt as table
+from loomgrain.session import written
 from loomgrain.sources.io import manual_sample
 
 

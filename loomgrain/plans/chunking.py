@@ -10,7 +10,7 @@ from loomgrain.operators import boundary, chunk_rows, fixed, folded, reports, tf
 from loomgrain.plans import chunksql as C
 from loomgrain.plans import sqltext as S
 from loomgrain.plans import views
-from loomgrain.session import table
+from loomgrain.session import dealt as table
 
 
 def content_blocks(spark, sf):

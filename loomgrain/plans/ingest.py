@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomgrain.plans import views
 from loomgrain.sources import adapters
-from loomgrain.session import table
+from loomgrain.session import dealt as table
 
 
 def markdown_blocks(spark, sf):

@@ -12,7 +12,8 @@ from loomgrain.operators import bm25, dense, evaluation, evidence, fixed, fusion
 from loomgrain.plans import chunksql as C
 from loomgrain.plans import sqltext as S
 from loomgrain.plans import views
-from loomgrain.session import table, written
+from loomgrain.session import dealt as table
+from loomgrain.session import written
 
 TOP = 5
 PLACE = 10_000_000  # lines of a document, at most, in a unit's place in the corpus

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgrain.functions import text as T
 from loomgrain.plans import sqltext as S
-from loomgrain.session import table
+from loomgrain.session import dealt as table
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:

@@ -67,7 +67,12 @@ SPREAD_BYTES = 4 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables by Spark's own reader (the store may be one only Spark can open)."""
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """table(), spread over all cores where it is small."""
+    return spread(table(spark, sf_dir, name))
 
 
 def spread(rows: DataFrame) -> DataFrame:
