@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate, chain
+from math import ceil, floor, log, sqrt
 
 from loomgrain.functions.text import CJK, LATIN_TOKEN, SYMBOL
 
@@ -15,6 +17,8 @@ _LATIN = re.compile(LATIN_TOKEN)
 _SYMBOL = re.compile(SYMBOL)
 _MIXED = re.compile(rf"{LATIN_TOKEN}|[{CJK}]|[^\s]")
 _BAG = re.compile(f"{LATIN_TOKEN}|[{CJK}]")
+_RUN = re.compile(r"\w[\w\-']*")
+_TERM = re.compile(r"[a-z][a-z0-9_\-']+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 
 
@@ -64,6 +68,30 @@ def packed_sentences(text: str, most: int) -> list[str]:
     return list(chain.from_iterable(cut))
 
 
+def sentence_distances(texts: list[str], stop: frozenset[str]) -> list[float] | None:
+    """1 - cosine of each text and the next, by TF-IDF over these texts (idf ln((1+n)/(1+df))+1, unit length); None if no text has a term."""
+    found = []
+    for text in texts:
+        runs = (t.rstrip("-'") for t in _RUN.findall(text.lower()))
+        found.append(Counter(t for t in runs if _TERM.fullmatch(t) and t not in stop))
+    df = Counter(chain.from_iterable(found))
+    if not df:
+        return None
+    idf = {t: log((1 + len(texts)) / (1 + n)) + 1 for t, n in df.items()}
+    weights = [{t: n * idf[t] for t, n in c.items()} for c in found]
+    size = [sqrt(sum(w * w for w in c.values())) for c in weights]
+    dots = [sum(w * b[t] for t, w in a.items() if t in b) for a, b in zip(weights, weights[1:])]
+    return [1.0 - (dot / (a * b) if dot else 0.0) for dot, a, b in zip(dots, size, size[1:], strict=False)]
+
+
+def linear_percentile(values: list[float], q: float) -> float:
+    """The value at (n - 1) q of the sorted values, between neighbours by proportion."""
+    held = sorted(values)
+    at = (len(held) - 1) * q
+    low, high = floor(at), ceil(at)
+    return held[low] if held[low] == held[high] else (high - at) * held[low] + (at - low) * held[high]
+
+
 def bag(text: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for token in map(str.lower, _BAG.findall(text)):
