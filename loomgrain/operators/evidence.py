@@ -2,41 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import text as T
 
-_KEY = 5  # words that lead a passage to the documents that may hold it
+_KEY = 5  # words that lead a passage to the documents that may hold it, at most
 # The least score of a match, and the kinds of block that can be evidence.
 LEAST = 0.18
 EVIDENCE_TYPES = "abstract paragraph table figure caption".split()
 
 
-def _windows(words):
-    def hashes(held):
+def _key(words: Column, start: Column | int, size: Column | int) -> Column:
+    size = F.lit(size) if isinstance(size, int) else size
+    return F.xxhash64(size, F.array_join(F.slice(words, start, size), " "))
+
+
+def _windows(words: Column, sizes: list[int]) -> Column:
+    def hashes(held: Column) -> Column:
         n = F.size(held)
-        at = F.when(n >= _KEY, F.sequence(F.lit(1), n - _KEY + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.xxhash64(F.array_join(F.slice(held, i, _KEY), " ")))
+        return F.concat(*[_window(held, n, k) for k in sizes])
 
     return F.array_distinct(T.let(words, hashes))
 
 
+def _window(held: Column, n: Column, size: int) -> Column:
+    at = F.when(n >= size, F.sequence(F.lit(1), n - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: _key(held, i, size))
+
+
 def containment(items: DataFrame, docs: DataFrame, item_key: str = "item_id", doc_key: str = "doc_id") -> DataFrame:
     """item_key, doc_key where the document's normalised lower-cased text contains the item's.
 
-    Passages of at least seven words meet their documents on the hash of words two to six,
-    which are whole words wherever the passage stands; only the documents' windows that
-    some passage asks for survive the semi-join. Shorter passages, of which there may be
-    few, are compared with every document.
+    A passage's inner words are whole words wherever it stands: passages meet their
+    documents on the hash of up to five of them, from the second on; only the documents'
+    windows that some passage asks for survive the join. Passages of one or two words have
+    no inner word; those, a stated set, are compared with every document.
     """
     i = items.select(item_key, T.normalize_for_match("text").alias("needle")).filter("needle <> ''").withColumn("w", F.split("needle", " "))
+    i = i.withColumn("k", F.least(F.lit(_KEY), F.size("w") - 2))
+    sizes = sorted(r.k for r in i.select("k").distinct().collect())  # at most seven values
     d = docs.select(doc_key, T.normalize_for_match("text").alias("hay"))
-    long = i.filter(F.size("w") >= _KEY + 2).select(item_key, "needle", F.xxhash64(F.array_join(F.slice("w", 2, _KEY), " ")).alias("h"))
-    keys = d.select(doc_key, F.explode(_windows(F.split("hay", " "))).alias("h"))
-    led = long.join(keys, "h").join(d, doc_key).filter(F.contains("hay", "needle")).select(item_key, doc_key)
-    short = i.filter(F.size("w") < _KEY + 2).join(d, F.contains("hay", "needle")).select(item_key, doc_key)
-    return led.unionByName(short)
+    parts = []
+    if inner := [k for k in sizes if k > 0]:
+        led = i.filter("k > 0").select(item_key, "needle", _key(F.col("w"), 2, F.col("k")).alias("h"))
+        keys = d.select(doc_key, F.explode(_windows(F.split("hay", " "), inner)).alias("h"))
+        parts.append(led.join(keys, "h").join(d, doc_key).filter(F.contains("hay", "needle")).select(item_key, doc_key))
+    if len(inner) < len(sizes):
+        parts.append(i.filter("k <= 0").join(d, F.contains("hay", "needle")).select(item_key, doc_key))
+    if not parts:
+        return i.join(d, F.lit(False)).select(item_key, doc_key)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def match(evidence: DataFrame, blocks: DataFrame, least: float = LEAST) -> DataFrame:

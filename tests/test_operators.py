@@ -123,6 +123,12 @@ def test_evidence_by_hand(spark):
     docs = spark.createDataFrame([(1, "so say we ALL of us"), (2, "all of it is here to be seen by us now ok")], "doc_id int, text string")
     items = spark.createDataFrame([(1, "we all"), (2, "of it is  here to be seen by u")], "item_id int, text string")
     assert {tuple(r) for r in evidence.containment(items, docs).collect()} == {(1, 1), (2, 2)}
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["ab", "abc", "bc", "c", "cab"]) for _ in range(r.randint(1, 30))) for _ in range(60)]
+    needles = [x[a : a + r.randint(1, 40)] for x in texts for a in [r.randrange(len(x))]] + ["", "zz zz zz zz zz zz zz zz"]
+    got = evidence.containment(spark.createDataFrame(list(enumerate(needles)), "item_id int, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted((i, d) for i, n in enumerate(needles) for d, t in enumerate(texts) if n.strip() and n.strip() in t)
+    assert evidence.containment(items.limit(0), docs).collect() == []
 
 
 def test_markdown_by_hand(spark):
