@@ -68,8 +68,8 @@ def packed_sentences(text: str, most: int) -> list[str]:
     return list(chain.from_iterable(cut))
 
 
-def sentence_distances(texts: list[str], stop: frozenset[str]) -> list[float] | None:
-    """1 - cosine of each text and the next, by TF-IDF over these texts (idf ln((1+n)/(1+df))+1, unit length); None if no text has a term."""
+def sentence_distances(texts: list[str], stop: frozenset[str], most: int) -> list[float] | None:
+    """1 - cosine of each text and the next, by TF-IDF over these texts' most frequent terms (idf ln((1+n)/(1+df))+1, unit length); None if no text has a term."""
     found = []
     for text in texts:
         runs = (t.rstrip("-'") for t in _RUN.findall(text.lower()))
@@ -77,6 +77,13 @@ def sentence_distances(texts: list[str], stop: frozenset[str]) -> list[float] |
     df = Counter(chain.from_iterable(found))
     if not df:
         return None
+    if len(df) > most:
+        total = Counter()
+        for c in found:
+            total.update(c)
+        kept = set(sorted(total, key=lambda t: (-total[t], t))[:most])
+        found = [Counter({t: n for t, n in c.items() if t in kept}) for c in found]
+        df = Counter(chain.from_iterable(found))
     idf = {t: log((1 + len(texts)) / (1 + n)) + 1 for t, n in df.items()}
     weights = [{t: n * idf[t] for t, n in c.items()} for c in found]
     size = [sqrt(sum(w * w for w in c.values())) for c in weights]

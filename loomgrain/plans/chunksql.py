@@ -121,8 +121,10 @@ UNITS = rf"""
     cut AS (SELECT doc_id, ord, CASE WHEN type IN {PROTECTED} THEN [norm] ELSE list_filter(list_transform(string_split(regexp_replace(norm, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') END AS s FROM src),
     placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord, sentence) AS place, count(*) OVER (PARTITION BY doc_id) AS n FROM
         (SELECT doc_id, ord, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS sentence FROM cut)),
-    tf AS MATERIALIZED (SELECT doc_id, place, term, count(*) AS tf FROM (SELECT doc_id, place, unnest(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\-'']*'), lambda t: regexp_replace(t, '[-'']+$', ''))) AS term FROM placed)
+    every_tf AS MATERIALIZED (SELECT doc_id, place, term, count(*) AS tf FROM (SELECT doc_id, place, unnest(list_transform(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_\-'']*'), lambda t: regexp_replace(t, '[-'']+$', ''))) AS term FROM placed)
            WHERE regexp_matches(term, '^[a-z][a-z0-9_\-'']+$') AND term NOT IN ({", ".join(f"'{w}'" for w in tfidf.STOP)}) GROUP BY ALL),
+    kept AS (SELECT doc_id, term FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY sum(tf) DESC, term) AS r FROM every_tf GROUP BY doc_id, term) WHERE r <= 5000),
+    tf AS MATERIALIZED (SELECT every_tf.* FROM every_tf JOIN kept USING (doc_id, term)),
     df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY ALL),
     heavy AS (SELECT tf.doc_id, tf.place, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (doc_id, term) JOIN (SELECT DISTINCT doc_id, n FROM placed) USING (doc_id)),
     weighted AS (SELECT doc_id, place, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, place)) AS w FROM heavy),

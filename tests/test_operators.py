@@ -2,6 +2,7 @@
 
 import functools
 import json
+import math
 import random
 import zipfile
 
@@ -388,4 +389,11 @@ def test_fold_text_rules():
     assert folds.join(["a", "b"]) == "a b" and folds.join(["中", "b"]) == "中b"
     assert folds.windows("a b c d e", 2) == ["a b", "c d", "e"] and folds.windows("中文文本 ab", 3) == ["中文文", "本ab"]
     assert folds.packed_sentences("a b. c d. e f g h i. j.", 4) == ["a b. c d.", "e f g h", "i.", "j."]
+    texts, none = ["the cat sat", "cat and dog", "the bird", "dog dog bird"], frozenset()
+    cat, dog, bird, one = (math.log(5 / (1 + n)) + 1 for n in (2, 2, 2, 1))
+    near = (cat * cat) / (math.hypot(cat, one) * math.hypot(cat, dog))
+    assert folds.sentence_distances(texts, frozenset(["the", "and"]), 9)[0] == pytest.approx(1 - near)
+    assert folds.sentence_distances(texts, none, 1) == [1.0, 1.0, 1.0]  # dog alone is left, three times; its sentences are no neighbours
+    assert folds.sentence_distances(["a", "1"], none, 9) is None
+    assert folds.linear_percentile([1, 2, 4], 0.75) == 3.0 and folds.linear_percentile([5.0], 0.75) == 5.0
     assert folds.packed_sentences("中文。文本。", 2) == ["中文。", "文本。"] and folds.packed_sentences("", 3) == []
