@@ -1,6 +1,7 @@
 """Hand-worked cases of evaluation, fusion, evidence, adapters, sources and the service functions."""
 
 import functools
+import io
 import json
 import math
 import random
@@ -219,6 +220,12 @@ def test_zip_readers(spark, tmp_path):
         with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
             z.writestr("m.json", text)
         assert [r.value for r in S.read_zip_array(spark, f"{tmp_path}/b.zip").orderBy("place").collect()] == want
+    odd = [{"a": ["]", '"', "\\", "{,"], "b": {}}, "x,]", [], None, 1.5, [[1], 2], "é\\\\"]
+    for portion in (1, 2, 3, 7, 1000):
+        assert [json.loads(v) for v in S.array_elements(io.StringIO(json.dumps(odd)), portion)] == odd
+    for bad in ("", "[1, 2", '{"a": 1'):
+        with pytest.raises(ValueError):
+            list(S.array_elements(io.StringIO(bad)))
     with zipfile.ZipFile(tmp_path / "c.zip", "w") as z:
         z.writestr(S.candidate_member("search", "dev"), "{}\n{}\n")
     assert S.read_candidates(spark, f"{tmp_path}/c.zip").count() == 2
