@@ -63,7 +63,8 @@ def scores(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, variant: s
     """qkey, dkey, score for every pair that shares a term.
 
     queries has qkey and tokens, docs has dkey and tokens. A term that occurs twice in a
-    query counts twice. Only the queries' terms are shuffled; under 'okapi' the terms'
+    query counts twice. Only the queries' terms are shuffled, and
+    their postings are written, as the terms' counts need them too; under 'okapi' the terms'
     counts are taken over all postings first, as its floor is a mean over all terms.
     Statistics stay global whatever scope is filtered later.
     """
@@ -72,18 +73,19 @@ def scores(queries: DataFrame, docs: DataFrame, qkey: str, dkey: str, variant: s
     if variant == "okapi":
         terms = docs.select(F.explode(F.array_distinct("tokens")).alias("term"))
         df = terms.groupBy("term").agg(F.count("*").alias("df"))
-        held = postings(docs, dkey, wanted)
+        held = written(postings(docs, dkey, wanted), "postings")
     else:
-        held = postings(docs, dkey, wanted)
+        held = written(postings(docs, dkey, wanted), "postings")
         df = held.groupBy("term").agg(F.count("*").alias("df"))
     return weighed(asked, held, idf(df.join(F.broadcast(corpus_stats(docs))), variant), qkey, dkey)
 
 
 def posting_scores(asked: DataFrame, found: DataFrame, qkey: str, dkey: str, variant: str = "plus_one") -> DataFrame:
     """scores from written postings of a whole corpus; asked is counted()."""
-    wanted = asked.select("term").distinct()
-    df = found.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(posting_stats(found, dkey)))
-    return weighed(asked, found.join(bounded(wanted, MOST_TERMS), "term", "left_semi"), idf(df, variant), qkey, dkey)
+    held = found.join(bounded(asked.select("term").distinct(), MOST_TERMS), "term", "left_semi")
+    counts = found if variant == "okapi" else held  # okapi's floor is a mean over all terms
+    df = counts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(posting_stats(found, dkey)))
+    return weighed(asked, held, idf(df, variant), qkey, dkey)
 
 
 def weighed(asked: DataFrame, held: DataFrame, df: DataFrame, qkey: str, dkey: str) -> DataFrame:
