@@ -139,3 +139,7 @@ def test_text_functions_by_hand(spark):
 def test_sentences_keep_the_digits_of_their_place(spark):
     """A sentence at place 2 that begins or ends with a 2 is whole."""
     assert one(spark, T.sentences(F.lit("A. B. 28.68.1.2"))) == ["A.", "B.", "28.68.1.2"]
+
+
+def test_summary_keeps_a_leading_zero(spark):
+    assert one(spark, T.summary(F.lit("0.5 is half of 10. More."))) == "0.5 is half of 10."
