@@ -15,6 +15,6 @@ def digits(spark, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["recursive_chunks", "semantic_chunks"])
+@pytest.mark.parametrize("name", ["qa_rows", "recursive_chunks", "semantic_chunks"])
 def test_digits_at_sentence_edges(spark, digits, name):
     assert compare(spark, catalogue.queries()[name], catalogue.oracle_sql()[name], digits) > 0
