@@ -96,8 +96,14 @@ def full_ranking(scored: DataFrame, asked: DataFrame, units: DataFrame, gold: Da
         F.when(F.col("s") > 0, none).when(F.col("s") < 0, count("units") - count("matched")).otherwise(count("units_before") - count("matched_before"))
     )
     first = best.join(ahead, "query_id", "left").join(zeros, "query_id", "left").select("query_id", (1 + count("ahead") + unscored).alias("first_relevant_rank"))
-    most = max(*ks, ndcg_k)
-    top = bm25.top_k_of_all(scored, asked, units, "query_id", "unit", most).join(relevant, ["query_id", "unit"])
+    top = bm25.top_k_of_all(scored, asked, units, "query_id", "unit", max(*ks, ndcg_k))
+    return judged_ranking(first, top, relevant, gold, ks, ndcg_k)
+
+
+def judged_ranking(first: DataFrame, top: DataFrame, relevant: DataFrame, gold: DataFrame, ks=KS, ndcg_k: int = 5) -> DataFrame:
+    """full_ranking's rows from query_id, first_relevant_rank and the best hits (query_id, unit, rank) of all units."""
+    ks = check_ks(ks)
+    top = top.join(relevant, ["query_id", "unit"])
     gains = top.groupBy("query_id").agg(
         F.sum(F.when(F.col("rank") <= ndcg_k, 1.0 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
         F.count_if(F.col("rank") <= ks[-1]).alias("relevant_hits"),
