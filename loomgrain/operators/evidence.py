@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.functions import text as T
+from loomgrain.session import written
 
 _KEY = 5  # words that lead a passage to the documents that may hold it, at most
 # The least score of a match, and the kinds of block that can be evidence.
@@ -47,7 +48,8 @@ def containment(items: DataFrame, docs: DataFrame, item_key: str = "item_id", do
     if inner := [k for k in sizes if k > 0]:
         led = i.filter("k > 0").select(item_key, "needle", _key(F.col("w"), 2, F.col("k")).alias("h"))
         keys = d.select(doc_key, F.explode(_windows(F.split("hay", " "), inner)).alias("h"))
-        parts.append(led.join(keys, "h").join(d, doc_key).filter(F.contains("hay", "needle")).select(item_key, doc_key))
+        met = written(led.join(keys, "h").select(item_key, "needle", doc_key).distinct(), "met")  # where they are few, documents need no shuffle
+        parts.append(met.join(d, doc_key).filter(F.contains("hay", "needle")).select(item_key, doc_key))
     if len(inner) < len(sizes):
         parts.append(i.filter("k <= 0").join(d, F.contains("hay", "needle")).select(item_key, doc_key))
     if not parts:

@@ -17,14 +17,14 @@ def _corpus(spark):
     asks = [("a", "w1 w2 w2 w30"), ("b", "rare0 w3 nowhere"), ("c", "nowhere"), ("d", ""), ("e", "rare1 w39 __empty__"), ("f", texts[7] + " w0")]
     asked = spark.createDataFrame(asks, "query_id string, text string").select("query_id", bm25.T.bm25_tokens("text").alias("tokens"))
     gold = spark.createDataFrame([("a", "b7"), ("a", "b300"), ("b", "b304"), ("b", "b9"), ("c", "b12"), ("d", "b1"), ("e", "b301"), ("f", "b250")], "query_id string, block_id string")
-    return written(ranking.tokenised(units), "units"), written(asked, "asked"), written(gold, "gold")
+    return units, written(ranking.tokenised(units), "tokens"), written(asked, "asked"), written(gold, "gold")
 
 
 @pytest.mark.parametrize("common", [1 << 18, 5, 0])
 def test_equal_to_the_join_by_term(spark, common):
-    units, asked, gold = _corpus(spark)
-    postings = written(bm25.postings(units, "unit"), "postings")
-    held, some = ranking.corpus(units, asked, common), asked.filter("size(tokens) > 0")
+    units, tokens, asked, gold = _corpus(spark)
+    postings = written(bm25.postings(tokens, "unit"), "postings")
+    held, some = ranking.corpus(tokens, asked, common), asked.filter("size(tokens) > 0")
     relevant = written(evaluation.relevant_units(units, gold), "relevant")
     for retriever, score in {"bm25": bm25.posting_scores, "cosine": lexical.posting_cosine}.items():
         pairs = written(score(bm25.counted(asked, "query_id"), postings, "query_id", "unit"), "pairs")
