@@ -38,8 +38,8 @@ def test_equal_to_the_join_by_term(spark, common):
 def _largest(spark, sf, name, monkeypatch):
     rows = []
 
-    def counting(df, label):
-        out = written(df, label)
+    def counting(df, label, *codec):
+        out = written(df, label, *codec)
         rows.append((out.count(), label))
         return out
 
