@@ -49,7 +49,7 @@ def _largest(spark, sf, name, monkeypatch):
     return max(rows)
 
 
-@pytest.mark.parametrize("name", ["eval_per_query", "acceptance_report", "bad_cases", "baseline_delta", "best_by_metric", "case_type", "eval_metrics", "metric_rows", "query_comparison", "query_hits"])
+@pytest.mark.parametrize("name", ["eval_per_query", "acceptance_report", "bad_cases", "baseline_delta", "best_by_metric", "case_type", "eval_metrics", "metric_rows", "query_comparison", "query_hits", "query_summary"])
 def test_no_table_of_pairs(spark, sf, name, monkeypatch):
     """No written table is longer than units and terms together, as postings and scored pairs are."""
     units, terms = chunking.content_blocks(spark, sf).count(), retrieval.bm25_postings(spark, sf).count()
