@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from loomgrain.operators import bm25, evaluation, lexical, ranking
+from loomgrain.operators import bm25, evaluation, evidence, lexical, ranking
 from loomgrain.plans import catalogue, checks, chunking, retrieval
 from loomgrain.session import written
 
@@ -54,3 +54,17 @@ def test_no_table_of_pairs(spark, sf, name, monkeypatch):
     """No written table is longer than units and terms together, as postings and scored pairs are."""
     units, terms = chunking.content_blocks(spark, sf).count(), retrieval.bm25_postings(spark, sf).count()
     assert _largest(spark, sf, name, monkeypatch)[0] <= units + terms
+
+
+def test_tokens_in_batches_are_those_of_the_expressions(spark):
+    texts = ["The A-b c'd it's x-", "中文 ab1中 The", None, "", "İstanbul Kelvin ſtop a_b -a", "of the"]
+    units = spark.createDataFrame(list(enumerate(texts)), "unit long, text string")
+    found = lambda rows, key: {r[key]: r.tokens for r in rows.collect()}
+    assert "MapInArrow" in ranking.tokenised(units)._jdf.queryExecution().toString()
+    assert found(ranking.tokenised(units), "unit") == found(bm25.tokenised(units, "unit"), "unit")
+
+
+def test_leading_words_are_looked_up_or_hashed(spark, sf):
+    items, docs = spark.read.parquet(f"{sf}/benchmark.parquet"), spark.read.parquet(f"{sf}/documents.parquet")
+    pairs = lambda most: sorted(tuple(r) for r in evidence.containment(items, docs, most=most).collect())
+    assert pairs(1_000_000) == pairs(0) != []
