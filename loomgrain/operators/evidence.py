@@ -91,6 +91,18 @@ def containment(items: DataFrame, docs: DataFrame, item_key: str = "item_id", do
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def containing(items: DataFrame, docs: DataFrame, pairs: DataFrame, item_key: str = "item_id", doc_key: str = "doc_id") -> DataFrame:
+    """containment() of the pairs (item_key, doc_key) that are given as possible; one without doc_key is compared with every document."""
+    needles = items.select(item_key, T.normalize_for_match("text").alias("needle")).filter("needle <> ''")
+    holds = F.contains(T.normalize_for_match("text"), F.col("needle"))
+    some = bm25.bounded(written(pairs.filter(F.col(doc_key).isNotNull()).join(needles, item_key), "met"), MOST_KEYS)
+    found = docs.select(doc_key, "text").join(some, doc_key).filter(holds).select(item_key, doc_key)
+    rest = written(pairs.filter(F.col(doc_key).isNull()).select(item_key).join(needles, item_key), "short")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(docs.select(doc_key, "text").join(F.broadcast(rest), holds).select(item_key, doc_key))
+
+
 def match(evidence: DataFrame, blocks: DataFrame, least: float = LEAST) -> DataFrame:
     """The best block of its document for each evidence, one row each: evidence (query_id, doc_id, place, text), blocks (doc_id, block_id, type, order, text).
 
